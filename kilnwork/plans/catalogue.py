@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from kilnwork.plans import general_problems
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**general_problems.QUERIES}
+SQL: dict[str, str] = {**general_problems.SQL}
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
