@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kilnwork.llm import boilerplate, bpe, leakage, splitting
+from kilnwork.llm import boilerplate, bpe, langid, leakage, splitting
 from kilnwork.runtime import spread, table
 
 
@@ -38,8 +38,17 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return leakage.without_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "lang"))
+    return langid.mislabelled_or_mixed(docs).select("doc_id", "seg_no", "lang").distinct()
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    return langid.segments(spread(table(spark, d, "documents").select("doc_id", "text", "lang")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_pieces, p8_ids, p9_found, p9_clean)
+    f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_pieces, p8_ids, p9_found, p9_clean, p10_found, p10_segments)
 }
 
 SQL: dict[str, str] = {
