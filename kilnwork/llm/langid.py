@@ -43,7 +43,7 @@ NAMED = {
     "eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "por": "pt", "ita": "it", "nld": "nl", "dut": "nl",
 }
 #: Share of a line's words that its language must have; other lines join the run around them.
-TELLS = 0.75
+TELLS = 0.8
 _NO_LANGUAGE = {"und", "mul", "zxx", "mis", "unknown", "none", "n/a", "xx"}
 
 
