@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kilnwork.llm import boilerplate, bpe, langid, leakage, scans, splitting
+from kilnwork.llm import boilerplate, bpe, langid, leakage, linkage, scans, splitting
 from kilnwork.runtime import spread, table
 
 
@@ -26,6 +26,14 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_matches(spark, d).select("key_a", "key_b").distinct()
+
+
+def p5_matches(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.matches(table(spark, d, "documents"), table(spark, d, "works"), table(spark, d, "string_cache"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.noisy_lines(spread(table(spark, d, "chunks")), table(spark, d, "documents"))[0].select("record_id", "line_no", "kind")
 
@@ -56,7 +64,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_pieces, p6_found, p6_clean, p8_ids, p9_found, p9_clean, p10_found, p10_segments)
+    f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_pieces, p5_found, p5_matches, p6_found, p6_clean, p8_ids, p9_found, p9_clean, p10_found, p10_segments)
 }
 
 SQL: dict[str, str] = {
