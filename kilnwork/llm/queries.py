@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kilnwork.llm import boilerplate, bpe, langid, leakage, linkage, scans, splitting
+from kilnwork.llm import boilerplate, bpe, langid, leakage, linkage, names, scans, splitting
 from kilnwork.runtime import spread, table
 
 
@@ -26,6 +26,15 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_names(table(spark, d, "authors"), table(spark, d, "documents"), table(spark, d, "works"))
+
+
+def p3_entities(spark: SparkSession, d: str) -> DataFrame:
+    a, b = names.linked_names(table(spark, d, "authors"), table(spark, d, "documents"), table(spark, d, "works"))
+    return a.unionByName(b).select("key", "entity").distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_matches(spark, d).select("key_a", "key_b").distinct()
 
@@ -64,7 +73,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_pieces, p5_found, p5_matches, p6_found, p6_clean, p8_ids, p9_found, p9_clean, p10_found, p10_segments)
+    f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_pieces, p3_found, p3_entities, p5_found, p5_matches, p6_found, p6_clean, p8_ids, p9_found, p9_clean, p10_found, p10_segments)
 }
 
 SQL: dict[str, str] = {
