@@ -33,18 +33,19 @@ from kilnwork.runtime import cut, small_enough
 #: What a scan makes of what: fixed values, misread form and true form.
 CONFUSIONS = [
     ("c", "e"), ("f", "t"), ("1", "i"), ("1", "l"), ("5", "s"), ("0", "o"), ("9", "g"), ("6", "b"), ("8", "b"),
-    ("cl", "d"), ("ii", "u"), ("rn", "m"), ("li", "h"), ("m", "in"), ("h", "ti"), ("h", "li"), ("vv", "w"), ("m", "rn"), ("d", "cl"), ("e", "c"),
+    ("cl", "d"), ("ii", "u"), ("rn", "m"), ("li", "h"), ("m", "in"), ("h", "ti"), ("h", "li"), ("vv", "w"), ("m", "rn"), ("d", "cl"), ("e", "c"), ("@", "a"),
 ]
 #: Ligature characters: fixed values of the Unicode presentation forms.
 LIGATURES = "ﬀﬁﬂﬃﬄﬅﬆ"
 HYPHENS = "-‐‑­¬"
-WORD = re.compile(r"[^\W_]+")
-COMPOUND = re.compile(r"[^\W_]+(?:[-‐‑][^\W_]+)+")
+WORD = re.compile(r"[\w@]+")
+TOKEN = re.compile(r"[\w@]+(?:[-‐‑][\w@]+)*")
 _LAST = re.compile(rf"([^\W_]+(?:[-‐‑][^\W_]+)*)[{HYPHENS}]\s*$")
 _FIRST = re.compile(r"\s*([^\W_]+(?:[-‐‑][^\W_]+)*)")
+_END = re.compile(rf"[{HYPHENS}] *\n")
 _CUT = re.compile(rf"[^\W_]+(?:[-‐‑][^\W_]+)*[{HYPHENS}] *\n\s*[^\W_]+(?:[-‐‑][^\W_]+)*")
 _NAMES = r"(?:p|pp|pag|pág|page|página|pagina|seite|s)"
-_NUM = r"[\dlOI]{1,5}"
+_NUM = r"(?:[\dlOI]{1,5}|(?-i:c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})(?<=[ivxlc])))"
 _PAGE = re.compile(rf"^\s*(?:(?P<deco>[-–—·•|~*]\s*{_NUM}\s*[-–—·•|~*]|[\[(<]\s*{_NUM}\s*[\])>]|{_NAMES}\.?\s*{_NUM}(?:\s*(?:/|of|de|von|sur|di)\s*{_NUM})?|{_NUM}\s*/\s*{_NUM})|(?P<bare>{_NUM}))\s*$", re.I)
 _NUMERIC = re.compile(r"^[\s\d.,;:|%+\-−–]*$")
 _PAGE_EDGE = re.compile(rf"^\s*(?:{_NUM}\s{{2,}}|{_NUM}\s+[·|—–-]\s+)|(?:\s{{2,}}|\s+[·|—–-]\s+){_NUM}\s*$")
@@ -67,9 +68,9 @@ def page_numbers(lines: list[str]) -> set[int]:
     for i, line in enumerate(lines):
         if len(line) > 40 or not (m := _PAGE.match(line)):
             continue
-        if not any(c.isdigit() for c in line):
+        if not any(c.isdigit() for c in line) and "O" in line:
             continue
-        if m["bare"] and (len(lines) < 3 or _in_column(lines, i)):
+        if m["bare"] and (len(lines) < 2 or _in_column(lines, i)):
             continue
         out.add(i)
     return out
@@ -80,7 +81,7 @@ def _in_column(lines: list[str], i: int) -> bool:
         k = i + step
         while 0 <= k < len(lines) and not lines[k].strip():
             k += step
-        if 0 <= k < len(lines) and (_NUMERIC.match(lines[k]) or "|" in lines[k]):
+        if 0 <= k < len(lines) and (_NUMERIC.match(lines[k]) or lines[k].lstrip()[:1] == "|"):
             return True
     return False
 
@@ -161,17 +162,18 @@ def word_counts(rows: DataFrame) -> DataFrame:
         counts: Counter[str] = Counter()
 
         def out():
+            for token in [t for t in counts if "-" in t or "‐" in t or "‑" in t]:
+                for part in WORD.findall(token):
+                    counts[part] += counts[token]
             batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
             counts.clear()
             return batch
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                text = _CUT.sub(" ", text) if "\n" in text else text
-                text = text.lower()
-                counts.update(WORD.findall(text))
-                if "-" in text or "‐" in text:
-                    counts.update(COMPOUND.findall(text))
+                if _END.search(text):
+                    text = _CUT.sub(" ", text)
+                counts.update(TOKEN.findall(text.lower()))
             if len(counts) > 500_000:
                 yield out()
         yield out()
@@ -191,8 +193,8 @@ def anagram_hash(word):
 def corrections(words: DataFrame, *, ratio: int = 20, least: int = 20) -> DataFrame:
     """(word, fixed, strong) for words that a confusion turns into a more frequent one.
 
-    ``strong`` pairs differ in frequency by ``ratio``; the others need the fixed
-    word in the same text to count.
+    ``strong`` pairs differ in frequency by ``ratio``; of the others only words met
+    at most three times count, and only in a text that has the fixed word too.
     """
     spark = words.sparkSession
     plain = words.where(~F.col("word").rlike("[-‐‑]") & (F.length("word") >= 2) & (F.length("word") <= 40))
@@ -212,6 +214,7 @@ def corrections(words: DataFrame, *, ratio: int = 20, least: int = 20) -> DataFr
     strong = (F.col("m") >= ratio * F.col("n")) & (F.col("m") >= least)
     short = F.length("fixed") < 3
     pairs = pairs.where((letters >= 1) & ~(short & (~strong | (F.col("m") < 50 * F.col("n")))))
+    pairs = pairs.where(strong | (F.col("n") <= 3))
     best = pairs.groupBy("word").agg(F.max(F.struct("m", "fixed", strong.alias("strong"))).alias("b"))
     return best.select("word", "b.fixed", "b.strong")
 
@@ -235,12 +238,9 @@ def _scan(texts, ids, docs, fixes, weak):
                     near = (i - 1 in pages) or (i + 1 in pages) or bool(_PAGE_EDGE.search(line)) or t == t.upper()
                     heads[i] = t
                     yield record, doc, i, "header?", t, "edge" if near else None
-        low = text.lower()
-        here = None
-        any_ligature = any(c in text for c in LIGATURES)
         cut_from: dict[int, str] = {}
-        for i, line in enumerate(lines):
-            if i + 1 < len(lines) and line and line.rstrip()[-1:] in HYPHENS and (m := _LAST.search(line)) and i not in pages:
+        for i, line in enumerate(lines[:-1]):
+            if line and line.rstrip()[-1:] in HYPHENS and i not in pages and (m := _LAST.search(line)):
                 a, tried, k = m[1], 0, i + 1
                 while k < len(lines) and tried < 4:
                     nxt = lines[k]
@@ -257,33 +257,28 @@ def _scan(texts, ids, docs, fixes, weak):
                             break
                         tried += 1
                     k += 1
-        for i, (line, lowered) in enumerate(zip(lines, low.split("\n") if low.count("\n") == text.count("\n") else [x.lower() for x in lines])):
-            if i in pages or not line:
-                continue
-            if any_ligature and any(c in line for c in LIGATURES):
-                yield record, doc, i, "misread?", None, None
-                continue
-            words = WORD.findall(lowered)
-            if i in cut_from:
-                if "end" in cut_from[i]:
-                    words = words[:-1]
-                if "start" in cut_from[i]:
-                    words = words[1:]
-            if not fixes.isdisjoint(words):
-                yield record, doc, i, "misread?", None, None
-            else:
-                for w in words:
-                    if w in weak:
-                        here = here if here is not None else set(WORD.findall(low))
-                        if weak[w] in here:
-                            yield record, doc, i, "misread?", None, None
-                            break
-        for i, line in enumerate(lines):  # words that a line end cut may be misread as well
-            if cut_from.get(i) == "end" and i + 1 < len(lines):
-                a, b = WORD.findall(line.lower()), WORD.findall(lines[i + 1].lower())
+        low = text.lower()
+        here = set(WORD.findall(low))
+        any_ligature = not text.isascii() and any(c in text for c in LIGATURES)
+        odd = fixes.keys() & here
+        odd |= {w for w in weak.keys() & here if weak[w] in here}
+        if odd or any_ligature:
+            for i, line in enumerate(lines):
+                if i in pages or not line:
+                    continue
+                words = WORD.findall(line.lower())
+                if i in cut_from:
+                    if "end" in cut_from[i]:
+                        words = words[:-1]
+                    if "start" in cut_from[i]:
+                        words = words[1:]
+                if not odd.isdisjoint(words) or any_ligature and any(c in line for c in LIGATURES):
+                    yield record, doc, i, "misread?", None, None
+        for i in cut_from:  # words that a line end cut may be misread as well
+            if cut_from[i].startswith("end") and i + 1 < len(lines):
+                a, b = WORD.findall(lines[i].lower()), WORD.findall(lines[i + 1].lower())
                 if a and b and (a[-1] + b[0]) in fixes:
-                    p = _wrong_part(a[-1], b[0], fixes[a[-1] + b[0]])
-                    yield record, doc, i + p, "misread?", None, None
+                    yield record, doc, i + _wrong_part(a[-1], b[0], fixes[a[-1] + b[0]]), "misread?", None, None
 
 
 def _wrong_part(a: str, b: str, right: str) -> int:
@@ -291,13 +286,6 @@ def _wrong_part(a: str, b: str, right: str) -> int:
     return 1 if right.startswith(a) else 0
 
 
-class _Fixes(dict):
-    """Words and their corrections, with the set test of the hot loop."""
-
-    def isdisjoint(self, words) -> bool:
-        return not any(map(self.__contains__, words))
-
-
 def line_candidates(rows: DataFrame, fixes: DataFrame, limit: int = 2_000_000) -> DataFrame:
     """Candidate lines of every record, the corrections broadcast once counted.
 
@@ -315,7 +303,7 @@ def line_candidates(rows: DataFrame, fixes: DataFrame, limit: int = 2_000_000) -
         shared = spark.sparkContext.broadcast((strong, weak))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, first=(k == 0)) -> Iterator[pa.RecordBatch]:
-            strong, weak = _Fixes(shared.value[0]), shared.value[1]
+            strong, weak = shared.value
             for batch in batches:
                 for lo in range(0, batch.num_rows, 1000):
                     part = batch.slice(lo, 1000)
