@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-from kilnwork.plans import general_problems
+from kilnwork.plans import claim_queries, general_problems, graph_queries, registry, search_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**general_problems.QUERIES}
-SQL: dict[str, str] = {**general_problems.SQL}
+QUERIES = {**registry.QUERIES, **general_problems.QUERIES}
+SQL = {**registry.SQL, **general_problems.SQL}
+del claim_queries, graph_queries
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
-    raise NotImplementedError
+    """Hybrid search: BM25 and hash-embedding cosine, fused by reciprocal ranks."""
+    return search_queries.hybrid_search(spark, root)

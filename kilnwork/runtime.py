@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +38,29 @@ def session(cores: int | str = "*", partitions: int = 8, **extra: str) -> SparkS
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors once per context, so that they need no copy of their own.
+
+    The archive is served by the driver like any Python file added to a context.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_kilnwork_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="kilnwork-"), "kilnwork_package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(here):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("kilnwork", os.path.relpath(path, here)))
+    sc.addPyFile(archive)
+    sc._kilnwork_shipped = True
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The parquet table ``name`` under ``root``."""
+    ship(spark)
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
