@@ -24,7 +24,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +81,9 @@ def hierarchy(rows: DataFrame, id_col: str = "category_id", parent_col: str = "p
     links = one.join(known, "up", "left")
     roots = links.where("there is null").select("node", F.col("node").alias("anchor"), F.lit(0).cast("long").alias("offset"), F.col("node").alias("least"), F.array().cast("array<string>").alias("way"))
 
-    def local(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def local(parts: Iterator) -> Iterator:
+        import pandas as pd
+
         parent: dict[str, str] = {}
         for pdf in parts:
             parent.update(zip(pdf["node"], pdf["up"]))

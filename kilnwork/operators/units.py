@@ -30,7 +30,6 @@ from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -353,7 +352,9 @@ def printed_quantities(points: DataFrame, registry: DataFrame) -> DataFrame:
     shared = points.sparkSession.sparkContext.broadcast(known)
     rows = points.select(*_COLUMNS).distinct()
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator) -> Iterator:
+        import pandas as pd
+
         names = shared.value
         target = {p: (read_unit(u), u) for p, u in names.values()}
         for pdf in parts:
@@ -421,7 +422,7 @@ def to_common_units(
         if base and base[2] == 0:
             factors[prop] = {u: float(f[1] / base[1]) for u in _COMMON if (f := unit_for(u, base[0])) and f[0] == base[0] and f[2] == 0}
 
-    def segment(pdf: pd.DataFrame) -> pd.DataFrame:
+    def segment(pdf):
         pdf = pdf.sort_values(["created_at", "claim_id"], kind="stable").reset_index(drop=True)
         prop, lvl = pdf["property_norm"].iloc[0], pdf["_level"].iloc[0]
         known = factors.get(prop)

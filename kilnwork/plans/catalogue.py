@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kilnwork.plans import claim_queries, general_problems, graph_queries, registry, search_queries
+from kilnwork.plans import claim_queries, event_queries, general_problems, graph_queries, registry, search_queries, text_queries
 
 QUERIES = {**registry.QUERIES, **general_problems.QUERIES}
 SQL = {**registry.SQL, **general_problems.SQL}
-del claim_queries, graph_queries
+del claim_queries, event_queries, graph_queries, text_queries
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:

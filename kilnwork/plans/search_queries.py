@@ -90,7 +90,7 @@ def body_prose(spark, d):
 
 
 @query("""SELECT DISTINCT chunk_id FROM chunks WHERE len(list_filter(list_transform(from_json(section_path_json, '["VARCHAR"]'),
-          x -> trim(regexp_replace(lower(x), '^[0-9.]+ *', ''))), x -> x <> '' AND (contains(x, 'result') OR contains('result', x)))) > 0""")
+          lambda x: trim(regexp_replace(lower(x), '^[0-9.]+ *', ''))), lambda x: x <> '' AND (contains(x, 'result') OR contains('result', x)))) > 0""")
 def fuzzy_section(spark, d):
     parts = F.transform(F.from_json("section_path_json", "array<string>"), lambda x: F.trim(F.regexp_replace(F.lower(x), "^[0-9.]+ *", "")))
     hit = F.exists(parts, lambda x: (x != "") & (x.contains("result") | F.lit("result").contains(x)))

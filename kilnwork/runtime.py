@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,7 +86,24 @@ def cut(df: DataFrame) -> DataFrame:
     The files survive the loss of executors, which a local checkpoint does not.
     """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    _tidy(df.sparkSession)
+    return out
+
+
+_TIDIED = [0.0]
+
+
+def _tidy(spark: SparkSession, every: float = 4.0) -> None:
+    """Let the driver collect its garbage now and then in a chain of stages.
+
+    Shuffle files of finished stages are deleted only once the driver has
+    collected the plans that refer to them, and a driver with room to spare may
+    not do so for a whole query.
+    """
+    if time.monotonic() - _TIDIED[0] > every:
+        spark.sparkContext._jvm.System.gc()
+        _TIDIED[0] = time.monotonic()
 
 
 def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
