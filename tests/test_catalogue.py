@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from kilnwork.plans import catalogue
@@ -13,7 +14,7 @@ ROOT = "/root/testdata/sf0.001"
 
 def fold(frame):
     def one(x):
-        if x is None or x != x:
+        if x is None or pd.isna(x):
             return "NULL"
         if isinstance(x, bool) or type(x).__name__ == "bool_":
             return str(bool(x))
