@@ -23,7 +23,7 @@ def valid_keyword(word: Column) -> Column:
     low = F.lower(F.trim(word))
     parts = F.split(low, "\\s+")
     return F.coalesce(
-        F.length(low).between(3, 50) & (F.size(parts) <= 5) & ~parts[0].isin(KEYWORD_STOPS) & ~low.isin(MONTHS) & low.rlike("[a-z]") & ~low.rlike("^[a-z]([. ][a-z])*[.]?$") & ~low.rlike("[@/\\\\]|https?:|^[0-9 .,-]+$"),
+        F.length(low).between(3, 50) & (F.size(parts) <= 5) & ~parts[0].isin(KEYWORD_STOPS) & ~low.isin(MONTHS) & low.rlike("[a-z]") & ~low.rlike("^[a-z]([. ]+[a-z])*[.]?$") & ~low.rlike("[@/\\\\]|https?:|^[0-9 .,-]+$"),
         F.lit(False),
     )
 

@@ -28,7 +28,7 @@ _MONTHS = ", ".join(f"'{x}'" for x in c.MONTHS)
 
 @query(f"""WITH h AS (SELECT DISTINCT unnest(from_json(section_path_json, '["VARCHAR"]')) AS h FROM chunks), l AS (SELECT h, lower(trim(h)) AS low, regexp_split_to_array(lower(trim(h)), '\\s+') AS parts FROM h)
            SELECT h AS word, coalesce(length(low) BETWEEN 3 AND 50 AND len(parts) <= 5 AND parts[1] NOT IN ({_STOPS}) AND low NOT IN ({_MONTHS}) AND regexp_matches(low, '[a-z]')
-           AND NOT regexp_matches(low, '^[a-z]([. ][a-z])*[.]?$') AND NOT regexp_matches(low, '[@/\\\\]|https?:|^[0-9 .,-]+$'), false) AS valid FROM l""")
+           AND NOT regexp_matches(low, '^[a-z]([. ]+[a-z])*[.]?$') AND NOT regexp_matches(low, '[@/\\\\]|https?:|^[0-9 .,-]+$'), false) AS valid FROM l""")
 def keyword_validity(spark, d):
     h = table(spark, d, "chunks").select(F.explode(F.from_json("section_path_json", "array<string>")).alias("word")).distinct()
     return h.select("word", c.valid_keyword(F.col("word")).alias("valid"))
