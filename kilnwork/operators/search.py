@@ -36,7 +36,6 @@ def bm25(df: DataFrame, key: str, fields: dict[str, float], terms: list[str]) ->
     query, not of the corpus; sizes of the corpus are one aggregation.
     """
     terms = sorted({w.lower() for w in terms})
-    tokens = F.lit(None)
     found = None
     for field, weight in fields.items():
         hit = F.filter(t.search_tokens(F.col(field)), lambda w: w.isin(terms))
@@ -46,7 +45,6 @@ def bm25(df: DataFrame, key: str, fields: dict[str, float], terms: list[str]) ->
     sizes = lengths(df, key, list(fields))
     corpus = sizes.agg(F.count("*").alias("big_n"), F.avg("n").alias("avg_n"))
     dfs = tf.groupBy("term").agg(F.count("*").alias("df"))
-    del tokens
     idf = F.greatest(F.log((F.col("big_n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("avg_n")))
     return (
@@ -86,9 +84,7 @@ def cosine_top(df: DataFrame, key: str, vec: str, query: list[float], k: int) ->
 
 def best_per_group(hits: DataFrame, group: str, item: str, score: str) -> DataFrame:
     """(group, best, n, best_item) of scored items; ties take the smaller item."""
-    return hits.groupBy(group).agg(
-        F.max(score).alias("best"), F.count("*").alias("n"), F.max_by(item, F.struct(F.col(score), -F.xxhash64(item))).alias("_any"), F.min(F.struct((-F.col(score)).alias("s"), F.col(item).alias("i")))["i"].alias("best_item")
-    ).drop("_any")
+    return hits.groupBy(group).agg(F.max(score).alias("best"), F.count("*").alias("n"), F.min(F.struct((-F.col(score)).alias("s"), F.col(item).alias("i")))["i"].alias("best_item"))
 
 
 def cap_per_group(df: DataFrame, group: str, most: int, *order: Column) -> DataFrame:
