@@ -104,3 +104,17 @@ def link_hints(mentions: DataFrame, shared: DataFrame, k: int = 5) -> DataFrame:
     s = shared.groupBy("page", "other").agg((F.count_distinct("doc_id") * 100).alias("score"))
     n = m.unionByName(s).groupBy("page", "other").agg(F.sum("score").alias("score"))
     return n.withColumn("rank", F.row_number().over(W.partitionBy("page").orderBy(F.desc("score"), F.desc("other")))).where(F.col("rank") <= k)
+
+
+def enriched(docs: DataFrame, works: DataFrame) -> DataFrame:
+    """(doc_id, doi, container_title, year, source): blanks of a document filled from the resolved work of the same folded title.
+
+    The document's own valid value comes first; a year outside 1500..2100 is no
+    value; of several works the one with the smallest DOI fills.
+    """
+    w = works.select(t.title_key(F.col("title")).alias("k"), F.nullif("doi", F.lit("")).alias("wd"), F.nullif("journal", F.lit("")).alias("wj"), F.col("year").alias("wy")).where("length(k) >= 20")
+    w = w.groupBy("k").agg(F.min(F.struct("wd", "wj", "wy")).alias("w")).select("k", "w.*")
+    d = docs.select("doc_id", t.title_key(F.col("title")).alias("k"), "doi", "container_title", F.when(F.col("year").between(1500, 2100), F.col("year")).alias("year"))
+    j = d.join(w, "k", "left")
+    used = F.when(F.col("wd").isNotNull() & (F.col("doi").isNull() | F.col("container_title").isNull() | F.col("year").isNull()), "work").otherwise("document")
+    return j.select("doc_id", F.coalesce("doi", "wd").alias("doi"), F.coalesce("container_title", "wj").alias("container_title"), F.coalesce("year", "wy").alias("year"), used.alias("source"))

@@ -70,3 +70,14 @@ def inbox_promoted(spark, d):
     box = i.select("slug", F.lit("concept").alias("kind"), "chunk_id", F.lit(False).alias("deliberate"))
     ok = c.drained(box, known)[1]
     return i.join(ok, "slug").groupBy("slug").agg(F.count_distinct("chunk_id").alias("n"))
+
+
+_KEY = "substr(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), 1, 80)"
+
+
+@query(f"""WITH w AS (SELECT {_KEY} AS k, nullif(doi, '') AS wd, nullif(journal, '') AS wj, year AS wy FROM works), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY wd, wj NULLS FIRST, wy NULLS FIRST) AS r FROM w WHERE length(k) >= 20) WHERE r = 1),
+           d AS (SELECT doc_id, {_KEY} AS k, doi, container_title, CASE WHEN year BETWEEN 1500 AND 2100 THEN year END AS year FROM documents)
+           SELECT doc_id, coalesce(doi, wd) AS doi, coalesce(container_title, wj) AS container_title, coalesce(year, wy) AS year,
+             CASE WHEN wd IS NOT NULL AND (doi IS NULL OR container_title IS NULL OR year IS NULL) THEN 'work' ELSE 'document' END AS source FROM d LEFT JOIN b USING (k)""")
+def documents_enriched(spark, d):
+    return c.enriched(table(spark, d, "documents"), table(spark, d, "works"))
