@@ -94,7 +94,7 @@ def cut(df: DataFrame) -> DataFrame:
 _TIDIED = [0.0]
 
 
-def _tidy(spark: SparkSession, every: float = 4.0) -> None:
+def _tidy(spark: SparkSession, every: float = 2.0) -> None:
     """Let the driver collect its garbage now and then in a chain of stages.
 
     Shuffle files of finished stages are deleted only once the driver has
