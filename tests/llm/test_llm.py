@@ -327,6 +327,50 @@ def test_matches(spark):
     assert linkage.matches(docs.limit(0), works.limit(0), refs.limit(0)).count() == 0
 
 
+def test_matches_with_one_edit_a_word(spark):
+    docs = spark.createDataFrame([(1, "Notes on brevatidex under load", 1999, '["Bob Stonefield"]'), (2, "Growth of zincal films on glass", 2001, None), (3, "Corvadite aging", 1988, '["Ann Miller"]')], "doc_id long, title string, year int, authors_json string")
+    works = spark.createDataFrame(
+        [("w1", "Notes on brevqtidex under load", 1999, '["Bob Stonefeild"]'), ("w2", "Growth of zimcal films on glass", 2002, None), ("w3", "Corvadite agieng", 1988, '["Ann Miller"]')], "doi string, title string, year int, authors_json string"
+    )
+    refs = spark.createDataFrame([("r1", "Stonefeild B., Notes on brevatidxe under load, J. Films 1999;3:14", None), ("r2", "2001 Growth of zimcal films on glass", None), ("r3", "Miller A, Corvadtie aging (1988)", None)], "sha256 string, raw_text string, resolved_doi string")
+    got = set(rows(linkage.matches(docs, works, refs), "key_a", "key_b"))
+    assert {(f"doc/{k}", x) for k in (1, 2, 3) for x in (f"work/w{k}", f"ref/r{k}")} <= got
+    assert all(a[-1] == b[-1] for a, b in got)
+
+
+def test_candidates_hold_every_pair_that_compare_accepts(spark):
+    import random
+
+    rng = random.Random(5)
+    pool = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 9))) for _ in range(60)]
+    people = ["stonefield", "millerson", "kovacs", "tanaka"]
+
+    def blur(w):
+        i = rng.randrange(len(w) - 1)
+        return rng.choice([w[:i] + w[i + 1 :], w[:i] + "z" + w[i:], w[:i] + "z" + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :]])
+
+    titles = [(f"work/{k}", " ".join(rng.sample(pool, rng.randint(1, 6))), rng.choice([1999, 2000, None]), rng.choice([None, f'["Al {rng.choice(people)}"]'])) for k in range(80)]
+    raw = []
+    for k in range(160):
+        _, title, year, who = rng.choice(titles)
+        who = (who or "").strip('["]').removeprefix("Al ")
+        raw.append((f"ref/{k}", f"{year or ''} {rng.choice([who, blur(who)]) if who else ''} {' '.join(blur(w) if rng.random() < 0.4 else w for w in title.split())}"))
+    left, right = [r for r in (linkage.reference_record(*x) for x in raw) if r], [linkage.title_record(*x) for x in titles]
+    shape = lambda x: linkage._hashed(spark.createDataFrame(x, linkage._SHAPE)).cache()
+    lrows, rrows = shape(left), shape(right)
+    df = rrows.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    n = len(right)
+    wide, near_ = linkage.spelt(lrows, rrows, df, is_reference=True)
+    pairs = linkage.candidates(wide, rrows, df, n, near_, is_reference=True)
+    keys = lambda x: {r["id"]: r["key"] for r in x.select("id", "key").collect()}
+    ka, kb = keys(lrows), keys(rrows)
+    got = {(ka[r["a"]], kb[r["b"]]) for r in pairs.collect()}
+    weight = {r["term"]: 1.0 for r in df.where(F.col("df") > linkage.rare_bound(n)).collect()}
+    part = lambda r: (r[1], r[2], r[3], r[4], r[5], r[6], r[7])
+    want = {(a[0], b[0]) for a in left for b in right if linkage.compare(part(a), part(b), weight, 4.0, True)[0] > 0}
+    assert len(want) > 100 and want <= got
+
+
 # -- SQL ----------------------------------------------------------------------------
 
 
