@@ -104,6 +104,13 @@ def test_coupling(spark):
     assert rows(graph.coupling(m, "ref", "doc", strength=3), "a", "b", "shared") == [("a", "b", 4), ("b", "a", 4)]
 
 
+def test_relink_pages_covers_every_page(spark, tmp_path):
+    from kilnwork.plans.graph_queries import relink_pages
+
+    spark.createDataFrame([(p, d) for p in (1, 41, 900) for d in (1, 2)], "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert rows(relink_pages(spark, str(tmp_path)), "a", "b", "shared", "rank") == [(1, 41, 2, 1), (1, 900, 2, 2), (41, 1, 2, 1), (41, 900, 2, 2), (900, 1, 2, 1), (900, 41, 2, 2)]
+
+
 def test_similarity_walk_claims_once(spark):
     p = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.8), (4, 2, 0.95), (4, 5, 0.7), (2, 3, 0.99), (2, 6, 0.66)], "a int, b int, score double")
     assert graph.similarity_walk(p, [1, 4], depth=2, fan=2, threshold=0.65) == [(1, 1, 2, 0.9), (1, 1, 3, 0.8), (1, 4, 5, 0.7), (2, 2, 6, 0.66)]
