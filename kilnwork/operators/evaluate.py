@@ -131,3 +131,59 @@ def diverse_sample(vectors: list[list[float]], prior: list[float], k: int, weigh
         out.append(i)
         covered = np.maximum(covered, sim[i])
     return out
+
+
+def diverse_rows(df: DataFrame, key: str, vec: str, k: int, weight: float = 0.7, block: int = 50_000) -> list:
+    """The keys ``diverse_sample`` picks from all rows, with the prior 1 / rank by key; no row is left out.
+
+    Vectors are broadcast in blocks of ``block`` rows; every row adds up what it
+    newly covers of each block, and only the best row of a round reaches the driver.
+    """
+    import numpy as np
+    import pyarrow as pa
+    from kilnwork.runtime import cut
+
+    spark = df.sparkSession
+    rows = cut(df.where(F.col(vec).isNotNull()).select(key, F.transform(vec, lambda x: x.cast("double")).alias(vec)).orderBy(key).withColumn("_m", F.monotonically_increasing_id()))
+    sizes = sorted((r["p"], r["n"]) for r in rows.groupBy(F.shiftright("_m", 33).alias("p")).agg(F.count("*").alias("n")).collect())
+    n = sum(c for _, c in sizes)
+    if not n:
+        return []
+    begins = dict(zip((p for p, _ in sizes), np.concatenate([[0], np.cumsum([c for _, c in sizes])]).tolist()))
+    begin = F.create_map(*[F.lit(x) for pair in begins.items() for x in pair])
+    rank = begin[F.shiftright("_m", 33)] + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    rows = cut(rows.select(key, vec, rank.cast("long").alias("_i")))
+    blocks = []
+    for lo in range(0, n, block):
+        part = rows.where((F.col("_i") >= lo) & (F.col("_i") < lo + block)).select(vec).toLocalIterator()
+        blocks.append(spark.sparkContext.broadcast(np.array([r[0] for r in part], dtype=float)))
+    picked: list[int] = []
+    keys, vectors = [], []
+    for _ in range(min(k, n)):
+        chosen = np.array(vectors, dtype=float)
+
+        def gains(batches, mine):
+            all_, step = mine.value, 1024
+            cover = np.clip(all_ @ chosen.T, 0, None).max(axis=1) if len(chosen) else np.zeros(len(all_))
+            for batch in batches:
+                x = np.array(batch.column(1).to_pylist(), dtype=float)
+                out = np.zeros(len(x))
+                for a in range(0, len(x), step):
+                    for b in range(0, len(all_), step):
+                        out[a : a + step] += np.maximum(x[a : a + step] @ all_[b : b + step].T - cover[None, b : b + step], 0).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["_i", "g"])
+
+        parts = None
+        for b in blocks:
+            one = rows.select("_i", vec).mapInArrow(lambda batches, b=b, gains=gains: gains(batches, b), "_i long, g double")
+            parts = one if parts is None else parts.unionByName(one)
+        total = cut(parts.groupBy("_i").agg(F.sum("g").alias("g")))
+        top = total.agg(F.max("g")).first()[0]
+        p = (1.0 / (F.col("_i") + 1) - 1.0 / n) / (1.0 - 1.0 / n) if n > 1 else F.lit(0.5)
+        score = weight * p + (1 - weight) * (F.col("g") / top if top > 0 else F.col("g"))
+        best = total.where(~F.col("_i").isin(picked)).orderBy(score.desc(), "_i").select("_i").first()[0]
+        row = rows.where(F.col("_i") == best).first()
+        picked.append(best)
+        keys.append(row[key])
+        vectors.append(row[vec])
+    return keys

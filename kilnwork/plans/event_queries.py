@@ -231,6 +231,5 @@ def louvain_pages(spark, d):
 
 @query()
 def diverse_vectors(spark, d):
-    rows = table(spark, d, "embeddings").orderBy("vec_id").limit(500).select("vec_id", "embedding").collect()  # a candidate list of 500 is the operator's input
-    picked = evaluate.diverse_sample([r["embedding"] for r in rows], [1.0 / (i + 1) for i in range(len(rows))], 10)
-    return spark.createDataFrame([(k, rows[i]["vec_id"]) for k, i in enumerate(picked)], "pick int, vec_id long")
+    picked = evaluate.diverse_rows(table(spark, d, "embeddings"), "vec_id", "embedding", 10)
+    return spark.createDataFrame(list(enumerate(picked)), "pick int, vec_id long")

@@ -141,6 +141,22 @@ def test_diverse_sample_prefers_uncovered():
     assert evaluate.diverse_sample([[1, 0], [1, 0], [0, 1]], [0.5, 0.5, 0.5], 2) == [0, 2]
 
 
+def test_diverse_vectors_reads_every_row(spark, tmp_path):
+    from kilnwork.plans.event_queries import diverse_vectors
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.tile([1.0, 0, 0, 0], (520, 1)), rng.random((400, 4))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k * 3, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(5)
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    stored = {r[0]: r[1] for r in df.collect()}
+    want = [i * 3 for i in evaluate.diverse_sample([stored[k] for k in sorted(stored)], [1.0 / (i + 1) for i in range(len(x))], 10)]
+    got = [r["vec_id"] for r in diverse_vectors(spark, str(tmp_path)).orderBy("pick").collect()]
+    assert got == want and max(got) > 1500
+    assert evaluate.diverse_rows(df, "vec_id", "embedding", 10, block=300) == want
+    assert evaluate.diverse_rows(df.limit(0), "vec_id", "embedding", 10) == []
+
+
 def test_maturity_gates(spark):
     few = [("c", f"k{i}", 1, "a") for i in range(3)]
     many = [("d", f"k{i}", i % 6, "abcd"[i % 4]) for i in range(14)]
