@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\w+")
 CUT = re.compile(r"(\w+)- ?\n\s*(\w+)")
 SLICE = 512
+#: Words of the inserted lines a chain may pass over at once.
+REACH = 40
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -148,38 +150,61 @@ class ItemIndex:
             if got:
                 seen = True
                 yield got
-        if not seen and 1 < len(offsets) <= 64:
-            got = self.window(self.chained(rows, offsets, lines, lo))
-            if got:
-                yield got
-
-    def chained(self, rows, offsets, lines, lo) -> np.ndarray:
-        """Matches along the best chain of offsets: forward over whole lines, or by one word lost or added."""
-        n = len(rows[offsets[0]])
-
-        def may(a: int, b: int, p: int) -> bool:
-            if abs(b - a) <= 1:
-                return True
-            first, last = a + p - lo, b + p - 1 - lo
-            if b < a or b - a > 40 or not lines or first < 1 or last + 1 >= len(lines):
-                return False
-            return lines[first] != lines[first - 1] and lines[last] != lines[last + 1]
-
-        score = {d: 0 for d in offsets}
-        back: list[dict[int, int]] = []
+        if not seen and len(offsets) > 1:
+            # chains reach at most REACH words, so offsets further apart are never on one chain
+            at = np.array(offsets)
+            for group in np.split(at, np.nonzero(np.diff(at) > REACH)[0] + 1):
+                got = self.chained(rows, group, lines, lo) if len(group) > 1 else None
+                if got:
+                    yield got
+
+    def chained(self, rows, group, lines, lo) -> tuple[int, int, int] | None:
+        """An accepted passage along a chain of offsets, if there is one: forward over whole lines, or by one word lost or added.
+
+        For each offset and each length of a stretch (all from ``least`` on as one)
+        the best balance of matches and changes is kept, so no acceptable chain is
+        missed because another has more matches elsewhere.
+        """
+        m = np.stack([rows[d] for d in group])
+        k, n = m.shape
+        top, total = self.least, len(lines) if lines else 0
+        line = np.array(lines or [], dtype=np.int64)
+        change = np.nonzero(np.diff(line))[0]
+        begins, ends = np.zeros(total + 1, dtype=bool), np.zeros(total + 1, dtype=bool)
+        begins[change + 1], ends[change] = True, True  # the first word of a line but the first, the last of one but the last
+        shifts = [(s, group[s:] - group[:-s]) for s in range(1, min(k - 1, REACH) + 1)]
+        shifts = [(s, gap <= REACH, gap == 1) for s, gap in shifts if (gap <= REACH).any()]
+        low = -(10**9)
+        score, start = np.full((top + 1, k), low), np.zeros((top + 1, k), dtype=np.int64)
+        best = None
         for p in range(n):
-            step, frm = {}, {}
-            for d in offsets:
-                src = max((a for a in offsets if a == d or may(a, d, p)), key=lambda a: (score[a], a == d))
-                step[d], frm[d] = score[src] + int(rows[d][p]), src
-            score = step
-            back.append(frm)
-        d = max(offsets, key=lambda a: score[a])
-        m = np.zeros(n, dtype=bool)
-        for p in range(n - 1, -1, -1):
-            m[p] = rows[d][p]
-            d = back[p][d]
-        return m
+            new, frm = score.copy(), start.copy()
+            first, last = group + p - lo, group + p - 1 - lo
+            leaves = np.where((first >= 1) & (first < total), begins[np.clip(first, 0, total)], False)
+            enters = np.where((last >= 0) & (last + 1 < total), ends[np.clip(last, 0, total)], False)
+
+            def step(src, dst, ok):
+                take = ok[None, :] & (score[:, src] > new[:, dst])
+                new[:, dst] = np.where(take, score[:, src], new[:, dst])
+                frm[:, dst] = np.where(take, start[:, src], frm[:, dst])
+
+            for s, near_by, one in shifts:
+                ok = near_by & (one | (leaves[:-s] & enters[s:]))
+                if ok.any():
+                    step(slice(0, k - s), slice(s, k), ok)
+                if s == 1 and one.any():
+                    step(slice(1, k), slice(0, k - 1), one)
+            gain = np.where(m[:, p], 1, 1 - self.one_in)
+            longer = new[top] >= new[top - 1]
+            score[top] = np.maximum(new[top], new[top - 1]) + gain
+            start[top] = np.where(longer, frm[top], frm[top - 1])
+            score[2:top], start[2:top] = new[1 : top - 1] + gain, frm[1 : top - 1]
+            score[1], start[1] = np.where(m[:, p], 1, low), p
+            for d in np.nonzero(m[:, p] & (score[top] >= 0))[0]:
+                a, length = int(start[top, d]), p + 1 - int(start[top, d])
+                if best is None or length > best[1] - best[0]:
+                    best = (a, p + 1, (length - int(score[top, d])) // self.one_in)
+        return best
 
     def window(self, m: np.ndarray) -> tuple[int, int, int] | None:
         """The longest stretch with matching ends, long enough and with few enough changes."""

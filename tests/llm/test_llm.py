@@ -171,6 +171,17 @@ def test_leaks(spark):
     assert leakage.leaked_items(docs, bench.limit(0)).count() == 0 and leakage.leaked_items(docs.limit(0), bench).count() == 0
 
 
+def test_broken_leak_in_a_long_repetitive_text(spark):
+    w = ITEM.split()
+    noise = "\n".join(f"page {i} of the book says {' '.join(w[i % 50 : i % 50 + 5])} and then more" + " filler" * (i % 7) for i in range(300))
+    header = noise + "\n" + " ".join(w[0:15]) + "\nRunning Header of Something 12\n" + " ".join(w[15:32]) + "\n" + noise
+    dropped = noise + "\n" + " ".join(w[10:20] + w[21:35]) + "\n" + noise
+    far = noise + "\n" + " ".join(w[0:15]) + "\n" + "unrelated words\n" * 30 + " ".join(w[15:32]) + "\n" + noise  # 60 words between
+    docs = spark.createDataFrame([(1, header), (2, dropped), (3, noise), (4, far)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    assert {r["doc_id"] for r in leakage.leaked_items(docs, bench).collect()} == {1, 2}
+
+
 def test_windows_against_brute_force():
     import numpy as np
 
