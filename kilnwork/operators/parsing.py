@@ -6,6 +6,7 @@ character offsets always refer to the stored text.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -16,8 +17,23 @@ _HEADING = re.compile(r"^(#{1,6})[ \t]+(\S.*?)\s*$", re.M)
 #: Headings that open no section of their own: fixed values.
 _TEMPLATE_HEADINGS = {"open access", "correspondence", "corresponding author", "citation", "copyright", "keywords", "article info", "article history", "publisher's note", "abbreviations", "orcid", "author information", "cite this", "received", "accepted", "revised", "published"}
 _DISPLAY = re.compile(r"\$\$(.+?)\$\$|\\\[(.+?)\\\]", re.S)
-_INLINE = re.compile(r"(?<![\\$])\$(?!\s)([^$\n]{1,200}?)(?<!\s)\$(?!\d)")
+_INLINE = re.compile(r"(?<![\\$])\$(?!\s)([^$\n]+?)(?<!\s)\$(?!\d)")
 _CHEMICAL = re.compile(r"\b(?:[A-Z][a-z]?\d*){2,}(?:\s*(?:\+|->|→)\s*(?:\d*(?:[A-Z][a-z]?\d*)+))+")
+_GREEK = "\u0391-\u03a9\u03b1-\u03c9"
+_SUBSCRIPT = "\u2080-\u2089\u00b2\u00b3\u207f"
+_RELATION = "[=<>\u2264\u2265\u2248\u221d\u00b1]"
+_OPERAND = f"[A-Za-z0-9_(){_GREEK}{_SUBSCRIPT}^]+"
+#: The operands may follow each other only with an operator between them.
+_UNICODE = re.compile(rf"(?:^|(?<=\s))([A-Za-z{_GREEK}][A-Za-z0-9_(){_GREEK}{_SUBSCRIPT}]*\s*{_RELATION}+\s*{_OPERAND}(?:\s*[+\-*/\u00b7\u22c5]\s*{_OPERAND})*)(?=\s|$|[,;:!?.])", re.M)
+_OMITTED = re.compile(r"\*?\*?=+>.*?(?:picture|image).*?(?:omitted|removed).*?<+=+\*?\*?", re.I)
+_NEAR_EQUATION = re.compile(r"where|equation|given\s+by|defined\s+as|expressed\s+as|formula|can\s+be\s+written|is\s+described\s+by|according\s+to|Eq\.|relation", re.I)
+_NAMED = re.compile(r"(?:the\s+)?([A-Z][a-z]{2,}(?:['\u2019]s)?)\s+(?:(?:first|second|third|fourth|zeroth)\s+)?(?:law|equation|relation|formula|rule|principle|theorem)")
+#: Words that give no formula its name, and words of prose: fixed values.
+_NO_NAME = set("the this that each our their its any new general simple basic above following resulting governing".split())
+_PROSE = set(
+    "is are was were the and that this which with from for not but its has have had been will can may also than then such each into over both only very when where while"
+    " about after before other between through during without however because although therefore important".split()
+)
 _CAPTION = re.compile(r"^(?:\*\*)?(fig(?:ure)?|table|scheme)\.?\s*(\d+)([a-z])?(?:\*\*)?\s*[.:|]\s*(\S.*)$", re.I | re.M)
 _REFS = re.compile(r"^#{0,6}\s*(references|bibliography|works cited|literature cited)\s*$", re.I | re.M)
 _NUMBERED = re.compile(r"^\s*(?:\[(\d{1,3})\]|(\d{1,3})[.)])\s+", re.M)
@@ -88,17 +104,53 @@ def chunk_spans(body: str, limit: int = 1280, least_alnum: int = 30) -> list[tup
     return out
 
 
+def _plausible(text: str) -> bool:
+    """Whether a text with a relation sign is a formula and not prose."""
+    parts = [p.strip() for p in re.split(rf"\s*{_RELATION}+\s*", text, maxsplit=1)]
+    if len(parts) < 2 or not all(parts):
+        return False
+    for side in parts:
+        words = re.findall(r"[A-Za-z]+", side.lower())
+        if words and all(w in _PROSE for w in words) or sum(len(w) >= 4 for w in words) >= 3:
+            return False
+    return any(len(w) <= 3 for w in re.findall(r"[A-Za-z]+", "".join(parts))) or bool(re.search(rf"[\d(){_GREEK}{_SUBSCRIPT}^_/]", text))
+
+
 def equation_spans(body: str) -> list[tuple[str, str, int, int, str]]:
-    """(kind, latex, start, end, hash): display, inline and chemical formulas, one of each content, by offset."""
+    """(kind, latex, start, end, hash): display, inline, chemical, plain-text, image and named formulas, one of each content, by offset.
+
+    The hash is of the whole formula; ``latex`` shows its first 500 characters.
+    """
     found = []
     taken: list[tuple[int, int]] = []
-    for kind, pattern in (("display", _DISPLAY), ("inline", _INLINE), ("chemical", _CHEMICAL)):
+
+    def add(kind: str, latex: str, start: int, end: int) -> None:
+        found.append((kind, latex[:500], start, end, hashlib.sha1(f"{kind}:{latex}".encode()).hexdigest()[:12]))
+
+    for kind, pattern in (("display", _DISPLAY), ("inline", _INLINE), ("chemical", _CHEMICAL), ("unicode", _UNICODE)):
+        # the spans of one pass do not overlap each other, so they are looked up among those of the passes before
+        before = sorted(taken)
+        begins, ends = [a for a, _ in before], [b for _, b in before]
         for m in pattern.finditer(body):
-            if any(a < m.end() and m.start() < b for a, b in taken):
+            k = bisect.bisect_left(begins, m.end()) - 1
+            if k >= 0 and ends[k] > m.start():
                 continue
+            latex = next((g for g in m.groups() if g), m[0]).strip()
+            if kind == "unicode":
+                latex = latex.rstrip(".")
+                if len(latex) < 3 or not _plausible(latex):
+                    continue
             taken.append(m.span())
-            latex = next((g for g in m.groups() if g), m[0]).strip()[:500]
-            found.append((kind, latex, m.start(), m.end(), hashlib.sha1(f"{kind}:{latex}".encode()).hexdigest()[:12]))
+            add(kind, latex, m.start(), m.end())
+    for m in _OMITTED.finditer(body):
+        if _NEAR_EQUATION.search(body[max(0, m.start() - 300) : m.end() + 300]):
+            add("image", "[image equation]", m.start(), m.end())
+    names = set()
+    for m in _NAMED.finditer(body):
+        name = m[0].strip()
+        if m[1].rstrip("'s\u2019").lower() not in _NO_NAME and name.lower() not in names:
+            names.add(name.lower())
+            add("named", name, m.start(), m.end())
     seen, out = set(), []
     for row in sorted(found, key=lambda r: r[2]):
         if row[4] not in seen:

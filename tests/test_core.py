@@ -182,6 +182,15 @@ def test_parsing():
     assert parsing.section_spans("") == [] and parsing.reference_rows("") == []
 
 
+def test_equations_are_whole_and_of_all_kinds():
+    long = "x+" * 300
+    got = parsing.equation_spans(f"$${long}a$$ then $${long}b$$ and ${long}c$ and ${long}d$")
+    assert [e[0] for e in got] == ["display", "display", "inline", "inline"] and len({e[4] for e in got}) == 4 and all(len(e[1]) == 500 for e in got)
+    body = "The energy E = mc² + k holds, given by\n**==> picture [10 x 20] intentionally omitted <==**\nand Ohm's law, the Ohm's law; General law. Nothing = the and"
+    assert [e[:2] for e in parsing.equation_spans(body)] == [("unicode", "E = mc² + k"), ("image", "[image equation]"), ("named", "Ohm's law"), ("named", "the Ohm's law")]
+    assert [e[:2] for e in parsing.equation_spans("$a = b$ and a = b")] == [("inline", "a = b"), ("unicode", "a = b")]
+
+
 def test_bind_spans(spark):
     spans = spark.createDataFrame([("d", "s1", 0, 10), ("d", "s2", 5, 20)], "doc string, span_id string, char_start int, char_end int")
     pts = spark.createDataFrame([("d", 7), ("d", 10), ("d", 30)], "doc string, offset int")
