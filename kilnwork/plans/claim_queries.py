@@ -74,6 +74,14 @@ def quotes_in_documents(spark, d):
     return docs.join(F.broadcast(b) if b.count() < 10_000 else b, F.lower("text").contains(F.col("q"))).groupBy("item_id").agg(F.count("*").alias("n"))
 
 
+@query()
+def whole_quotes_in_documents(spark, d):
+    """Whole folded items as substrings of folded documents; ``quotes_in_documents`` looks up openings only, as its SQL does."""
+    docs = table(spark, d, "documents").select(t.grounding_fold(F.col("text")).alias("f"))
+    b = table(spark, d, "benchmark").select("item_id", t.grounding_fold(F.col("text")).alias("q")).where("q <> ''")
+    return docs.join(F.broadcast(b) if b.count() < 10_000 else b, F.col("f").contains(F.col("q"))).groupBy("item_id").agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT claim_id, 'dp_' || substr(sha256(concat_ws('|', coalesce(subject_norm, ''), coalesce(property_norm, ''), coalesce(value_text, ''), coalesce(unit, ''), coalesce(doc_id::VARCHAR, ''))), 1, 16) AS content_key FROM {_P}")
 def claim_identity(spark, d):
     parts = [F.coalesce(F.col(x).cast("string"), F.lit("")) for x in ("subject_norm", "property_norm", "value_text", "unit", "doc_id")]

@@ -111,6 +111,15 @@ def test_relink_pages_covers_every_page(spark, tmp_path):
     assert rows(relink_pages(spark, str(tmp_path)), "a", "b", "shared", "rank") == [(1, 41, 2, 1), (1, 900, 2, 2), (41, 1, 2, 1), (41, 900, 2, 2), (900, 1, 2, 1), (900, 41, 2, 2)]
 
 
+def test_whole_quotes_need_the_whole_text(spark, tmp_path):
+    from kilnwork.plans.claim_queries import whole_quotes_in_documents
+
+    head = "The opening of this item is longer than forty characters"
+    spark.createDataFrame([(1, f"{head} and ends so."), (2, f"{head} and ends otherwise."), (3, "   "), (4, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, f"Before. {head.upper()}  and [3]ends so. After."), (2, "forty characters and ends so."), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows(whole_quotes_in_documents(spark, str(tmp_path)), "item_id", "n") == [(1, 1)]
+
+
 def test_similarity_walk_claims_once(spark):
     p = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.8), (4, 2, 0.95), (4, 5, 0.7), (2, 3, 0.99), (2, 6, 0.66)], "a int, b int, score double")
     assert graph.similarity_walk(p, [1, 4], depth=2, fan=2, threshold=0.65) == [(1, 1, 2, 0.9), (1, 1, 3, 0.8), (1, 4, 5, 0.7), (2, 2, 6, 0.66)]
