@@ -18,7 +18,7 @@ def reresolve(refs: DataFrame, docs: DataFrame, least: int = 30) -> DataFrame:
     words, so it is no product of the tables.
     """
     d = docs.select("doc_id", t.doi_normal(F.col("doi")).alias("d"), F.col("year").alias("y"), t.alnum_fold(F.col("title")).alias("tf")).where(F.col("d").isNotNull() | F.col("tf").isNotNull())
-    r = refs.select("ref_id", t.doi_normal(F.col("doi")).alias("rd"), "year", t.alnum_fold(F.col("title"), 50).alias("rt"), t.alnum_fold(F.col("raw")).alias("rr"), t.title_key(F.col("raw"), 1000).alias("rk"))
+    r = refs.select("ref_id", t.doi_normal(F.col("doi")).alias("rd"), "year", t.alnum_fold(F.col("title"), 50).alias("rt"), t.alnum_fold(F.col("raw")).alias("rr"), t.title_key(F.col("raw"), 2**31 - 1).alias("rk"))
     one = r.join(d, r["rd"] == d["d"]).select("ref_id", "doc_id", F.lit(1.0).alias("confidence"))
     long = d.where(F.length("tf") >= least)
     two = r.where(F.length("rt") >= least).join(long.withColumn("p", F.substring("tf", 1, 50)), (F.col("year") == F.col("y")) & (F.col("rt") == F.col("p"))).select("ref_id", "doc_id", F.lit(0.85).alias("confidence"))

@@ -47,6 +47,12 @@ def test_reresolve_tiers(spark):
     assert rows(citations.reresolve(refs, docs), "ref_id", "doc_id", "confidence") == [("r1", 1, 1.0), ("r2", 2, 0.85), ("r3", 2, 0.75)]
 
 
+def test_reresolve_reads_whole_references(spark):
+    docs = spark.createDataFrame([(2, None, 2001, "Another rather long title about hardness of layers")], "doc_id long, doi string, year int, title string")
+    refs = spark.createDataFrame([("r1", None, None, 2001, "Coauthor A., " * 120 + "Another rather long title about hardness of layers")], "ref_id string, doi string, title string, year int, raw string")
+    assert rows(citations.reresolve(refs, docs), "ref_id", "doc_id", "confidence") == [("r1", 2, 0.75)]
+
+
 def test_fusion_topics_inbox_walk(spark):
     c = spark.createDataFrame([("A title", 2000, "10.1/X"), ("A longer title", 2000, "10.1/x"), ("t", 1999, "10.1/X")], "title string, year int, doi string")
     assert rows(citations.fused(c), "n", "title", "year") == [(3, "A longer title", 2000)]
