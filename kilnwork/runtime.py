@@ -7,9 +7,10 @@ splits are widened only when there are fewer of them than cores.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
-import time
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast once it has been counted.
 BROADCAST_ROWS = 200_000
+#: Bytes, in the same way.
+BROADCAST_BYTES = 64_000_000
 
 
 def session(cores: int | str = "*", partitions: int = 8, **extra: str) -> SparkSession:
@@ -73,7 +76,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return known.get()
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if not sc.master.startswith("local["):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="kilnwork-ckpt-")
     sc.setCheckpointDir(where)
@@ -86,33 +89,50 @@ def cut(df: DataFrame) -> DataFrame:
     The files survive the loss of executors, which a local checkpoint does not.
     """
     checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    _tidy(df.sparkSession)
-    return out
+    return df.checkpoint(eager=True)
 
 
-_TIDIED = [0.0]
+_WRITTEN: list[tuple[object, str]] = []
 
 
-def _tidy(spark: SparkSession, every: float = 2.0) -> None:
-    """Let the driver collect its garbage now and then in a chain of stages.
+def written(df: DataFrame) -> DataFrame:
+    """As ``cut``, as a parquet table: readers take only the columns they need, and its size in bytes is known to the planner.
 
-    Shuffle files of finished stages are deleted only once the driver has
-    collected the plans that refer to them, and a driver with room to spare may
-    not do so for a whole query.
+    The tables of a session are deleted when the interpreter ends.
     """
-    if time.monotonic() - _TIDIED[0] > every:
-        spark.sparkContext._jvm.System.gc()
-        _TIDIED[0] = time.monotonic()
-
-
-def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; reads no more than that many."""
-    return df.limit(limit + 1).count() <= limit
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _WRITTEN:
+        atexit.register(_sweep)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _sweep() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended: its folder is the cluster's to clear
+            return
+
+
+def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``limit`` rows and they take at most ``most_bytes``; reads no more rows than that.
+
+    The size in bytes is that of one row of the widest kind the schema allows for
+    fixed columns, and of the longest values met for texts and arrays.
+    """
+    wide = [c for c, t in df.dtypes if t == "string" or t == "binary" or t.startswith(("array", "map", "struct"))]
+    size = sum((F.coalesce(F.length(c), F.lit(0)) if t in ("string", "binary") else F.length(F.to_json(F.array(c)))) for c, t in df.dtypes if c in wide) if wide else F.lit(0)
+    n, total = df.limit(limit + 1).select((size + 16 * len(df.columns)).cast("long").alias("b")).agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return n <= limit and total <= most_bytes
 
 
 def join_measured(big: DataFrame, side: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with ``side`` broadcast if it was counted and is small, shuffled otherwise."""
+    """Join with ``side`` broadcast if it was measured and is small, shuffled otherwise."""
     return big.join(F.broadcast(side) if small_enough(side, limit) else side, on, how)
 
 
