@@ -349,37 +349,39 @@ def test_matches_with_one_edit_a_word(spark):
     assert all(a[-1] == b[-1] for a, b in got)
 
 
-def test_candidates_hold_every_pair_that_compare_accepts(spark):
+def test_retrieval_finds_every_pair_that_scores(spark):
+    """Index, pruning and scoring give what the score gives on all pairs."""
     import random
 
     rng = random.Random(5)
-    pool = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 9))) for _ in range(60)]
-    people = ["stonefield", "millerson", "kovacs", "tanaka"]
+    pool = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 9))) for _ in range(120)]
+    people = ["".join(rng.choice("klmnopqrst") for _ in range(8)) for _ in range(30)]
 
     def blur(w):
         i = rng.randrange(len(w) - 1)
         return rng.choice([w[:i] + w[i + 1 :], w[:i] + "z" + w[i:], w[:i] + "z" + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :]])
 
-    titles = [(f"work/{k}", " ".join(rng.sample(pool, rng.randint(1, 6))), rng.choice([1999, 2000, None]), rng.choice([None, f'["Al {rng.choice(people)}"]'])) for k in range(80)]
-    raw = []
-    for k in range(160):
+    titles = [(f"w{k}", " ".join(rng.sample(pool, rng.randint(1, 6))), rng.choice([1999, 2000, 2007, None]), rng.choice(["", f'["Al {rng.choice(people)}"]', f'["{rng.choice(people)}", "Bo {rng.choice(people)}"]'])) for k in range(120)]
+    raw, docs = [], []
+    for k in range(200):
         _, title, year, who = rng.choice(titles)
-        who = (who or "").strip('["]').removeprefix("Al ")
-        raw.append((f"ref/{k}", f"{year or ''} {rng.choice([who, blur(who)]) if who else ''} {' '.join(blur(w) if rng.random() < 0.4 else w for w in title.split())}"))
-    left, right = [r for r in (linkage.reference_record(*x) for x in raw) if r], [linkage.title_record(*x) for x in titles]
-    shape = lambda x: linkage._hashed(spark.createDataFrame(x, linkage._SHAPE)).cache()
-    lrows, rrows = shape(left), shape(right)
-    df = rrows.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = len(right)
-    wide, near_ = linkage.spelt(lrows, rrows, df, is_reference=True)
-    pairs = linkage.candidates(wide, rrows, df, n, near_, is_reference=True)
-    keys = lambda x: {r["id"]: r["key"] for r in x.select("id", "key").collect()}
-    ka, kb = keys(lrows), keys(rrows)
-    got = {(ka[r["a"]], kb[r["b"]]) for r in pairs.collect()}
-    weight = {r["term"]: 1.0 for r in df.where(F.col("df") > linkage.rare_bound(n)).collect()}
-    part = lambda r: (r[1], r[2], r[3], r[4], r[5], r[6], r[7])
-    want = {(a[0], b[0]) for a in left for b in right if linkage.compare(part(a), part(b), weight, 4.0, True)[0] > 0}
-    assert len(want) > 100 and want <= got
+        words = [blur(w) if rng.random() < 0.3 else w for w in title.split()][: rng.randint(1, 6)]
+        name = who.strip('["]').split('"')[0].removeprefix("Al ")
+        raw.append((f"r{k}", f"{rng.choice([year, None]) or ''} {blur(name) if name and rng.random() < 0.4 else name} {' '.join(words)}"))
+        docs.append((k, " ".join(words), rng.choice([year, year, None, 1990]), who))
+    d = spark.createDataFrame(docs, "doc_id long, title string, year int, authors_json string")
+    w = spark.createDataFrame(titles, "doi string, title string, year int, authors_json string")
+    r = spark.createDataFrame(raw, "sha256 string, raw_text string")
+    found = linkage.paper_rows(d).unionByName(linkage.work_rows(w)).unionByName(linkage.reference_rows(r))
+    rec = found.withColumn("cid", F.xxhash64(*linkage._BODY)).drop("key").dropDuplicates(["cid"]).cache()
+    size = rec.count()
+    once = linkage.weight_of(1, size)
+    index, near_, common = linkage.indexed(rec, size, once)
+    got = {(x["q"], x["d"]) for x in linkage.scored(linkage.proposed(index, near_, common), index, once, 0.5).collect()}
+    bodies = [(x["cid"], x["kind"], linkage.Query(x["body"])) for x in index.select("cid", "kind", "body").collect()]
+    want = {(a, b) for a, ka, x in bodies for b, kb, y in bodies if ka > kb and linkage.score(x, y, once) >= 0.5}
+    assert len(want) > 200
+    assert got == want
 
 
 # -- SQL ----------------------------------------------------------------------------
