@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilnwork.functions import text as t
+from kilnwork.runtime import join_measured, small_enough
 
 
 def registry(points: DataFrame) -> DataFrame:
@@ -53,3 +54,26 @@ def add_points(known: DataFrame, new: DataFrame) -> DataFrame:
     """The claims after an idempotent insert: of one id the known row stays, then the first new one."""
     fresh = new.dropDuplicates(["claim_id"]).join(known.select("claim_id"), "claim_id", "left_anti")
     return known.unionByName(fresh)
+
+
+def quoted(docs: DataFrame, items: DataFrame, fold, *, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(id, item) of the items that stand whole in a document, both folded.
+
+    An item of five words and more is looked up by the hash of its second to fourth
+    word among those of the documents' runs of three words, and a hit is verified
+    on the whole item, which may begin and end inside a word; only hashes are
+    joined, and texts come back for the hits.  Shorter items are tried on every
+    document.  Null and empty items and texts give nothing; repeated rows count once.
+    """
+    items = items.select(F.col(item_col), fold(F.col(text_col)).alias("_q")).where("length(_q) > 0").distinct()
+    docs = docs.select(F.col(id_col), fold(F.col(text_col)).alias("_t")).where("length(_t) > 0").withColumn("_k", F.xxhash64("_t"))
+    size = F.size(F.split("_q", " "))
+    asked = items.where(size >= 5).withColumn("_w", F.split("_q", " ")).select(item_col, "_q", F.expr("xxhash64(_w[1], _w[2], _w[3])").alias("_h"))
+    runs = F.expr("if(size(_w) >= 3, array_distinct(transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2]))), cast(array() as array<bigint>))")
+    held = docs.withColumn("_w", F.split("_t", " ")).select(id_col, "_k", F.explode(runs).alias("_h"))
+    met = join_measured(held, asked, "_h").select(id_col, "_k", item_col, "_q").distinct()
+    out = met.join(docs, [id_col, "_k"]).where(F.col("_t").contains(F.col("_q"))).select(id_col, item_col)
+    few = items.where(size < 5)
+    if few.head(1):
+        out = out.unionByName(docs.join(F.broadcast(few) if small_enough(few) else few, F.col("_t").contains(F.col("_q"))).select(id_col, item_col))
+    return out.distinct()

@@ -67,7 +67,7 @@ def thin_coverage(cited: DataFrame, available: DataFrame, key: str) -> DataFrame
 
 def reclassified(chunks: DataFrame) -> DataFrame:
     """(chunk_id, is_boilerplate, section_type, changed): both predicates recomputed for every chunk."""
-    fresh_b = F.coalesce(t.hard_boilerplate(F.col("text")) | t.soft_boilerplate(F.col("text")), F.lit(False))
+    fresh_b = F.coalesce(t.hard_boilerplate(F.col("text")) | t.soft_boilerplate(F.col("text"), F.from_json("section_path_json", "array<string>")), F.lit(False))
     fresh_s = t.path_type(F.from_json("section_path_json", "array<string>"))
     changed = ~(F.col("is_boilerplate").eqNullSafe(fresh_b) & F.col("section_type").eqNullSafe(fresh_s))
     return chunks.select("chunk_id", fresh_b.alias("is_boilerplate"), fresh_s.alias("section_type"), changed.alias("changed"))

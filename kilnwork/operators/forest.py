@@ -77,9 +77,10 @@ def hierarchy(rows: DataFrame, id_col: str = "category_id", parent_col: str = "p
     spark = rows.sparkSession
     one = rows.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("node")).agg(F.min(F.when(F.col(parent_col) != "", F.col(parent_col))).alias("up"))
     one = cut(one)
+    # Rows without parent are split off, so that they do not meet in one task of the join.
     known = one.select(F.col("node").alias("up"), F.lit(True).alias("there"))
-    links = one.join(known, "up", "left")
-    roots = links.where("there is null").select("node", F.col("node").alias("anchor"), F.lit(0).cast("long").alias("offset"), F.col("node").alias("least"), F.array().cast("array<string>").alias("way"))
+    links = one.where("up is not null").join(known, "up", "left")
+    roots = links.where("there is null").select("node").unionByName(one.where("up is null").select("node")).select("node", F.col("node").alias("anchor"), F.lit(0).cast("long").alias("offset"), F.col("node").alias("least"), F.array().cast("array<string>").alias("way"))
 
     def local(parts: Iterator) -> Iterator:
         import pandas as pd

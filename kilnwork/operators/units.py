@@ -6,12 +6,12 @@ every spelling of a unit gives the same factor and a unit of another kind is
 told by its dimensions.  Numbers are read in the conventions they are printed
 in and converted exactly, as fractions.
 
-Where no unit is printed at all, the history of the source is segmented: an
-exact penalised changepoint search (pruned optimal partitioning) on the
-logarithm of the bare numbers gives its levels, and a level whose distance from
-the level of the converted values matches a factor of the quantity's known units
-marks the unit the source changed to.  Such rows carry the evidence ``level``;
-printed units carry the column that had them.
+The history of each source is then segmented: an exact penalised changepoint
+search (pruned optimal partitioning) on the logarithm of its values gives its
+levels, and a level that stands off the property's own by a factor of the
+quantity's known units marks a change of unit.  It gives rows without unit the
+unit of that level (evidence ``level``) and reverses printed units it contradicts
+(``reversed``); the other rows carry the column that printed their unit.
 
 Defined results: null or unreadable numbers and categorical rows give a null
 value; a unit of another kind gives the evidence ``other kind`` and no value;
@@ -31,8 +31,11 @@ from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kilnwork.runtime import written
+
 # Dimensions: metre, gram, second, ampere, kelvin, cycle, standard flow, and tags for units that stand alone.
 _M, _G, _S, _A, _K, _CYC, _FLOW, _ALONE = range(8)
 
@@ -266,15 +269,27 @@ def read_number(text: str) -> tuple[Fraction, str] | None:
     return (-value if m["sign"] == "-" else value), rest.strip()
 
 
+@lru_cache(maxsize=65536)
+def _part_of_unit(word: str) -> bool:
+    """Whether a word can stand inside a printed unit: a unit, a power of ten, or one of the words that join units."""
+    low = word.lower()
+    if low in ("per", "cent", "standard", "std", "thousand", "/", "k", "of", "hg", "rms", "abs", "absolute") or re.fullmatch(r"[·*⋅×x/()^\d+-]+", word):
+        return True
+    return read_unit(word) is not None or read_unit(word.lstrip("/([").rstrip(")]")) is not None or all(_one(w) for w in re.findall(r"[A-Za-zµΩÅåÅ°%ö]+", tidy(word)) or ["?"])
+
+
 def unit_in_quote(quote: str, printed: str, dims: tuple[int, ...]):
     """The unit that follows the printed value in a quote, if any."""
     at = quote.find(printed)
     if at < 0:
         return None
-    words = re.split(r"\s+", quote[at + len(printed) :].lstrip())[:5]
-    if not quote[at + len(printed) :].strip():
+    behind = quote[at + len(printed) :]
+    if not behind.strip():
         return None
-    other = None
+    # As far as the words can belong to a unit: no more than the first that is none, and those that may follow it in one.
+    words = re.split(r"\s+", behind.lstrip())
+    end = next((k for k, w in enumerate(words) if k and w.rstrip(".,;:") and not _part_of_unit(w.rstrip(".,;:"))), len(words))
+    words, other = words[: max(1, end)], None
     for n in range(len(words), 0, -1):
         text = " ".join(words[:n])
         for t in (text, text.rstrip(".,;:")):
@@ -321,23 +336,25 @@ def changepoints(y: np.ndarray, penalty: float) -> list[int]:
 def unit_levels(logs: np.ndarray, level: float, factors: dict[str, float], penalty: float, within: float, least: int) -> list[tuple[str, float] | None]:
     """The known factor whose level each row's segment stands at, or None."""
     out: list[tuple[str, float] | None] = [None] * len(logs)
-    cuts = [*changepoints(logs, penalty), len(logs)]
-    for a, b in zip(cuts, cuts[1:]):
+    for a, b, shift in segment_shifts(logs, level, penalty):
         if b - a >= least:
-            shift = level - float(np.mean(logs[a:b]))
             name = min(factors, key=lambda u: abs(math.log10(factors[u]) - shift))
             if abs(math.log10(factors[name]) - shift) <= within:
                 out[a:b] = [(name, factors[name])] * (b - a)
     return out
 
 
+def segment_shifts(logs: np.ndarray, level: float, penalty: float) -> list[tuple[int, int, float]]:
+    """(start, end, how far the level lies above the segment's mean) of each segment of a history."""
+    cuts = [*changepoints(logs, penalty), len(logs)]
+    return [(a, b, level - float(np.mean(logs[a:b]))) for a, b in zip(cuts, cuts[1:])]
+
+
 _COLUMNS = ["claim_id", "property_norm", "value_type", "value_original", "unit_original", "unit", "grounding_quote", "extractor", "created_at"]
 
 
 def registry_map(registry: DataFrame) -> dict[str, tuple[str, str]]:
-    """Every name of a property to (property, canonical unit); the registry is a hand-kept list."""
-    if registry.count() > 100_000:
-        raise ValueError("a property registry of more than 100,000 rows is not a registry")
+    """Every name of a property to (property, canonical unit); the registry is a hand-kept list and comes to the driver whole."""
     out: dict[str, tuple[str, str]] = {}
     for r in registry.select("property_norm", "canonical_unit", "aliases_json").toLocalIterator():
         if r[0] and r[1]:
@@ -389,33 +406,57 @@ _OUT = ["claim_id", "property_norm", "canonical_unit", "value_type", "source", "
 _SCHEMA = "claim_id string, property_norm string, canonical_unit string, value_type string, source string, created_at timestamp_ntz, number double, evidence string, value double, mantissa int, exponent int"
 
 
+def ranked(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows with their place (``_at``, from 0) in the order of their group and the size of the group (``_n``), without one task for a group.
+
+    Rows are range-partitioned by group and order; only the sizes of a group's parts
+    are summed in a window.
+    """
+    parts = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    placed = written(parts.withColumns({"_part": F.spark_partition_id(), "_seq": F.monotonically_increasing_id()}))
+    heads = placed.groupBy(*keys, "_part").agg(F.min("_seq").alias("_first"), F.count("*").alias("_rows"))
+    w = W.partitionBy(*keys)
+    heads = heads.withColumns({"_n": F.sum("_rows").over(w), "_before": F.sum("_rows").over(w.orderBy("_part")) - F.col("_rows")})
+    heads = heads.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate((*keys, "_part"))], "_first", "_before", "_n")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate((*keys, "_part"))]
+    return placed.join(heads, same).select(*rows.columns, (F.col("_before") + F.col("_seq") - F.col("_first")).alias("_at"), "_n")
+
+
 def to_common_units(
-    points: DataFrame, registry: DataFrame, *, penalty: float = 3.0, within: float = 0.08, least: int = 5, block: int = 2000
+    points: DataFrame, registry: DataFrame, *, penalty: float = 3.0, within: float = 0.08, least: int = 5, spread_most: float = 0.1, block: int = 4096
 ) -> DataFrame:
     """Every claim with its value in the property's canonical unit and the evidence for it.
 
-    Histories are (source, property) sequences by time, cut into blocks of about
-    ``block`` rows at approximate quantiles so that no task holds an unbounded
-    history.
+    A history is all numbers of one (source, property) in the order of time, each
+    converted by its printed unit where it has one.  The search segments it, and a
+    segment whose level stands off the property's own by a known factor marks a
+    change of unit: rows without unit get the unit of that level (evidence
+    ``level``), and rows whose printed unit the level contradicts are reversed
+    (``reversed``) where the segment is even, within ``spread_most`` decades, and
+    holds at least ``least`` rows.  Rows the level does not contradict keep their
+    printed unit.
+
+    Histories are segmented in windows of ``block`` rows by rank, twice, the second
+    time half a window on; each row takes the window in which it lies further from
+    an inner border, so the borders do not show, no task holds more than a window,
+    and a history is treated alike at every size.
     """
-    read = printed_quantities(points, registry)
-    told = read.where("evidence is not null or number is null or not number > 0")
-    bare = read.where("evidence is null and number > 0")
+    read = written(printed_quantities(points, registry))
+    usable = F.col("number").isNotNull() & (F.col("number") > 0) & (F.col("value").isNull() | (F.col("value") > 0)) & (F.coalesce("evidence", F.lit("")) != "other kind")
+    told = read.where(~usable | F.col("number").isNull())
     level = read.where("value > 0").groupBy("property_norm").agg(F.percentile_approx(F.log10("value"), 0.5).alias("_level"))
-    when = F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(0))
-    size = bare.groupBy("source", "property_norm").agg(
-        F.count("*").alias("_n"), F.percentile_approx(when, [k / 64 for k in range(1, 64)], 10_000).alias("_q")
+    placed = ranked(read.where(usable), ["source", "property_norm"], ["created_at", "claim_id"])
+    half = block // 2
+    near_a, near_b = F.col("_at") % block, (F.col("_at") + half) % block
+    # How far a row lies from the inner borders of its window in the first and in the shifted cut.
+    far = lambda off, shift: F.least(
+        F.when(F.col("_at") - off <= 0, F.lit(block)).otherwise(off), F.when(F.col("_at") - off + block >= F.col("_n"), F.lit(block)).otherwise(block - off)
     )
-    # A history of n rows is cut at every 64th of it (or fewer), and beyond 64 blocks rows of a block are spread by hash.
-    keyed = (
-        bare.join(size, (bare["source"].eqNullSafe(size["source"])) & (bare["property_norm"] == size["property_norm"]), "left")
-        .drop(size["source"])
-        .drop(size["property_norm"])
-        .withColumn("_step", F.greatest(F.lit(1), F.floor(F.lit(64.0 * block) / F.col("_n"))))
-        .withColumn("_slot", F.floor(F.size(F.filter("_q", lambda q: q < when)) / F.col("_step")))
-        .withColumn("_salt", F.pmod(F.xxhash64("claim_id"), F.greatest(F.lit(1), F.ceil(F.col("_n") / (64.0 * block)))))
-        .join(level, "property_norm", "left")
+    first, second = F.struct(F.lit(0).alias("cut"), F.floor(F.col("_at") / block).alias("win"), (far(near_a, 0) >= far(near_b, half)).alias("mine")), F.struct(
+        F.lit(1).alias("cut"), F.floor((F.col("_at") + half) / block).alias("win"), (far(near_a, 0) < far(near_b, half)).alias("mine")
     )
+    windows = placed.withColumn("_w", F.explode(F.when(F.col("_n") <= block, F.array(first.withField("mine", F.lit(True)))).otherwise(F.array(first, second))))
+    windows = windows.select(*_OUT, "_at", F.col("_w.cut").alias("_cut"), F.col("_w.win").alias("_win"), F.col("_w.mine").alias("_mine")).join(level, "property_norm", "left")
     factors = {}
     for prop, unit in set(registry_map(registry).values()):
         base = read_unit(unit)
@@ -423,20 +464,36 @@ def to_common_units(
             factors[prop] = {u: float(f[1] / base[1]) for u in _COMMON if (f := unit_for(u, base[0])) and f[0] == base[0] and f[2] == 0}
 
     def segment(pdf):
-        pdf = pdf.sort_values(["created_at", "claim_id"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values("_at", kind="stable").reset_index(drop=True)
         prop, lvl = pdf["property_norm"].iloc[0], pdf["_level"].iloc[0]
         known = factors.get(prop)
-        if known and lvl == lvl and lvl is not None:
-            for i, got in enumerate(unit_levels(np.log10(pdf["number"].to_numpy(float)), float(lvl), known, penalty, within, least)):
-                if got:
-                    v = float(pdf.at[i, "number"]) * got[1]
-                    me = mantissa_exponent(v)
-                    pdf.loc[i, ["evidence", "value"]] = ["level", v]
-                    if me:
-                        pdf.loc[i, ["mantissa", "exponent"]] = me
-        return pdf[_OUT].astype({"mantissa": "Int32", "exponent": "Int32"})
-
-    segmented = keyed.groupBy("source", "property_norm", "_slot", "_salt").applyInPandas(segment, _SCHEMA)
+        if known and lvl is not None and lvl == lvl:
+            number, value = pdf["number"].to_numpy(float), pdf["value"].to_numpy(float)
+            printed = ~np.isnan(value)
+            logs = np.log10(np.where(printed, value, number))
+            evidence, mantissa, exponent = pdf["evidence"].tolist(), pdf["mantissa"].astype("Int64").tolist(), pdf["exponent"].astype("Int64").tolist()
+            sizes = np.array(sorted({round(math.log10(a / b), 9) for a in known.values() for b in known.values() if a != b} or {math.inf}))
+            for a, b, shift in segment_shifts(logs, float(lvl), penalty):
+                if b - a < least:
+                    continue
+                bare = np.nonzero(~printed[a:b])[0] + a
+                if len(bare):
+                    name = min(known, key=lambda u: abs(math.log10(known[u]) - shift))
+                    if abs(math.log10(known[name]) - shift) <= within:
+                        for i in bare:
+                            evidence[i], value[i] = "level", number[i] * known[name]
+                            mantissa[i], exponent[i] = mantissa_exponent(value[i]) or (None, None)
+                told_here = np.nonzero(printed[a:b])[0] + a
+                if len(told_here) >= least and float(np.std(logs[told_here])) <= spread_most:
+                    step = sizes[np.argmin(np.abs(sizes - shift))]
+                    if abs(step) > 2 * within and abs(step - shift) <= within:
+                        for i in told_here:
+                            evidence[i], value[i] = "reversed", value[i] * 10.0**step
+                            mantissa[i], exponent[i] = mantissa_exponent(value[i]) or (None, None)
+            pdf = pdf.assign(evidence=evidence, value=value, mantissa=mantissa, exponent=exponent)
+        return pdf.loc[pdf["_mine"], _OUT].astype({"mantissa": "Int32", "exponent": "Int32"})
+
+    segmented = windows.groupBy("source", "property_norm", "_cut", "_win").applyInPandas(segment, _SCHEMA)
     return told.unionByName(segmented)
 
 

@@ -67,19 +67,15 @@ def claims_grounded(spark, d):
     return c.grounded(points(spark, d), ch)
 
 
-@query("""SELECT b.item_id, count(*) AS n FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(substr(b.text, 1, 40))) GROUP BY 1""")
+@query("""SELECT b.item_id, count(*) AS n FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)) WHERE b.text <> '' GROUP BY 1""")
 def quotes_in_documents(spark, d):
-    docs = table(spark, d, "documents").select("text")
-    b = table(spark, d, "benchmark").select("item_id", F.lower(F.substring("text", 1, 40)).alias("q"))  # a fixed list of held-out items
-    return docs.join(F.broadcast(b) if b.count() < 10_000 else b, F.lower("text").contains(F.col("q"))).groupBy("item_id").agg(F.count("*").alias("n"))
+    return c.quoted(table(spark, d, "documents"), table(spark, d, "benchmark"), F.lower).groupBy("item_id").agg(F.count("*").alias("n"))
 
 
 @query()
 def whole_quotes_in_documents(spark, d):
-    """Whole folded items as substrings of folded documents; ``quotes_in_documents`` looks up openings only, as its SQL does."""
-    docs = table(spark, d, "documents").select(t.grounding_fold(F.col("text")).alias("f"))
-    b = table(spark, d, "benchmark").select("item_id", t.grounding_fold(F.col("text")).alias("q")).where("q <> ''")
-    return docs.join(F.broadcast(b) if b.count() < 10_000 else b, F.col("f").contains(F.col("q"))).groupBy("item_id").agg(F.count("*").alias("n"))
+    """As ``quotes_in_documents``, both folded as quotes are grounded."""
+    return c.quoted(table(spark, d, "documents"), table(spark, d, "benchmark"), t.grounding_fold).groupBy("item_id").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT claim_id, 'dp_' || substr(sha256(concat_ws('|', coalesce(subject_norm, ''), coalesce(property_norm, ''), coalesce(value_text, ''), coalesce(unit, ''), coalesce(doc_id::VARCHAR, ''))), 1, 16) AS content_key FROM {_P}")

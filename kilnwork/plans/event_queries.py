@@ -99,8 +99,8 @@ def stream_distinct(spark, d):
 @query("""SELECT user_id, max(ts) AS last_any, max(CASE WHEN event_type = 'purchase' THEN ts END) AS last_evidence FROM events GROUP BY 1""")
 def stream_state(spark, d):
     s = ledger.read(spark, f"{d}/events.parquet").select("user_id", "event_type", "ts")
-    out = ledger.run(ledger.latest_rounds(s, "user_id", "event_type", "purchase"), "update")
-    return out.groupBy("user_id").agg(F.max("last_any").cast("timestamp_ntz").alias("last_any"), F.max("last_evidence").cast("timestamp_ntz").alias("last_evidence"))
+    out = ledger.run(ledger.latest_rounds(s, "user_id", "event_type", "purchase"), "update", ["user_id"])
+    return out.select("user_id", F.col("last_any").cast("timestamp_ntz").alias("last_any"), F.col("last_evidence").cast("timestamp_ntz").alias("last_evidence"))
 
 
 @query("""WITH c AS (SELECT DISTINCT chunk_id, doc_id, section_type, is_boilerplate FROM chunks), u AS (SELECT DISTINCT chunk_id FROM data_points)

@@ -23,7 +23,7 @@ def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     all_ = units.to_common_units(table(spark, d, "data_points"), table(spark, d, "property_registry"))
-    return all_.where(F.col("evidence").isin(units.PRINTED) & (F.col("value_type") == "scalar") & F.col("mantissa").isNotNull()).select("claim_id", "mantissa", "exponent").distinct()
+    return all_.where(F.col("evidence").isin(*units.PRINTED, "reversed") & (F.col("value_type") == "scalar") & F.col("mantissa").isNotNull()).select("claim_id", "mantissa", "exponent").distinct()
 
 
 def p7_values(spark: SparkSession, d: str) -> DataFrame:

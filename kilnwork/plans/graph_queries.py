@@ -207,11 +207,10 @@ def canonical_duplicates(spark, d):
     return keyed.groupBy("k").agg(F.min("doc_id").alias("component"), F.min(F.struct((-F.col("n")).alias("n"), "doc_id"))["doc_id"].alias("canonical"), F.count("*").alias("members")).where("members > 1").drop("k")
 
 
-@query("""WITH m AS (SELECT DISTINCT l_suppkey AS p, l_partkey AS doc FROM lineitem WHERE l_suppkey <= 40),
+@query("""WITH m AS (SELECT DISTINCT l_suppkey AS p, l_partkey AS doc FROM lineitem),
           n AS (SELECT a.p AS a, b.p AS b, count(*) AS shared FROM m a JOIN m b ON a.doc = b.doc AND a.p <> b.p GROUP BY 1, 2 HAVING count(*) >= 2)
           SELECT a, b, shared, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS rank FROM n) WHERE rank <= 5""")
 def relink_pages(spark, d):
-    # over all pages; its SQL speaks of the first 40 only and says the same where there are no more
     m = table(spark, d, "lineitem").select("l_suppkey", "l_partkey")
     return g.coupling(m, "l_partkey", "l_suppkey", strength=2, k=5)
 

@@ -36,13 +36,17 @@ def boilerplate_hard(spark, d):
     return chunks(spark, d).where(t.hard_boilerplate(F.col("text"))).select("chunk_id")
 
 
-_SOFT = " + ".join(f"regexp_matches(lower(text), '{p}')::INT" for p in t.SOFT_MARKERS)
-_DEF = " OR ".join(f"regexp_matches(substr(lower(text), 1, 600), '{p}')" for p in t.DEFINITE_MARKERS)
+_ALL_SOFT = "(?i)" + "|".join(f"(?:{p})" for p in t.SOFT_MARKERS)
+_SOFT = f"len(regexp_extract_all(text, '{_ALL_SOFT}'))"
+_DEF = " OR ".join(
+    [f"regexp_matches(substr(text, 1, 600), '{flags}{p}')" for ps, flags in ((t.DEFINITE_MARKERS, "(?im)"), (t.CASED_MARKERS, "(?m)")) for p in (x.replace("\\Z", "\\z") for x in ps)]
+    + [f"coalesce(len(list_filter(from_json(section_path_json, '[\"VARCHAR\"]'), lambda h: regexp_matches(lower(h), '{'|'.join(t.SIDEBAR_HEADINGS)}'))) > 0, false)"]
+)
 
 
 @query(f"""SELECT chunk_id FROM {_CH} WHERE {_DEF} OR (len(regexp_split_to_array(trim(text), '\\s+')) <= 600 AND {_SOFT} >= 2)""")
 def boilerplate_soft(spark, d):
-    return chunks(spark, d).where(t.soft_boilerplate(F.col("text"))).select("chunk_id")
+    return chunks(spark, d).where(t.soft_boilerplate(F.col("text"), F.from_json("section_path_json", "array<string>"))).select("chunk_id")
 
 
 def _section_sql(h: str) -> str:

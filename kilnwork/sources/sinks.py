@@ -71,13 +71,15 @@ def append_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at ``path``; a file system that does not answer raises."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: list[str]) -> None:
-    """Upsert into a published table, or make it."""
-    try:
-        old = spark.read.parquet(path)
-    except Exception:
-        old = None
-    publish(new.dropDuplicates(keys) if old is None else upserted(old, new, keys), path)
+    """Upsert into a published table, or make it where there is none; a table that cannot be read is left as it is and the error rises."""
+    publish(upserted(spark.read.parquet(path), new, keys) if exists(spark, path) else new.dropDuplicates(keys), path)
 
 
 def bibtex(works: DataFrame) -> DataFrame:

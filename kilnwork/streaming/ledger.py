@@ -12,22 +12,28 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kilnwork.runtime import checkpoint_dir
+from kilnwork.sources.sinks import exists
 
 
-def read(spark: SparkSession, path: str, time_col: str = "ts") -> DataFrame:
-    """A stream over a parquet file or folder with an event-time column of type timestamp."""
+def read(spark: SparkSession, path: str, time_col: str = "ts", files: int | None = None) -> DataFrame:
+    """A stream over a parquet file or folder with an event-time column of type timestamp, ``files`` at a time."""
     schema = spark.read.parquet(path).schema
     # as a pattern, because a stream takes a plain path for a folder
-    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]").withColumn(time_col, F.col(time_col).cast("timestamp"))
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", files) if files else reader
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]").withColumn(time_col, F.col(time_col).cast("timestamp"))
 
 
-def run(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """Run a stream to its end and read what it wrote.
 
-    Append goes to a parquet sink (exactly once by the sink's log); complete and
-    update rewrite a folder per batch, of which the last one counts.
+    Append goes to a parquet sink (exactly once by the sink's log).  The other
+    modes write each batch to a folder of its number, so that a batch that is
+    replayed writes the same folder again; complete is its last batch, and update
+    is the last row of each of ``keys`` over all batches.
     """
     spark = stream.sparkSession
     base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -36,9 +42,18 @@ def run(stream: DataFrame, mode: str = "append") -> DataFrame:
         q = w.format("parquet").option("path", base + "/out").start()
         q.awaitTermination()
         return spark.read.schema(stream.schema).parquet(base + "/out")
-    q = w.foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(base + "/out")).start()
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys whose last row counts")
+    q = w.foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(base + "/out")
+    written = T.StructType([*stream.schema.fields, T.StructField("epoch", T.LongType())])
+    if not exists(spark, base + "/out"):
+        return spark.createDataFrame([], stream.schema)
+    out = spark.read.schema(written).parquet(base + "/out")
+    if mode == "complete":
+        return out.join(F.broadcast(out.agg(F.max("epoch").alias("epoch"))), "epoch", "left_semi").drop("epoch")
+    rest = [c for c in stream.columns if c not in keys]
+    return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_last")).select(*keys, "_last.*").select(stream.columns)
 
 
 def tumbling(events: DataFrame, width: str, keys: list[str], late: str = "1 hour") -> DataFrame:

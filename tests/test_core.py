@@ -354,3 +354,63 @@ def test_common_units_end_to_end(spark):
     got = {r["claim_id"]: r for r in units.to_common_units(spark.createDataFrame(bare, cols), reg).collect()}
     assert got["y3"]["evidence"] == "level" and 50 < got["y3"]["value"] < 200
     assert units.to_common_units(spark.createDataFrame([], cols), reg).count() == 0
+
+
+def test_long_histories_are_segmented_alike_in_windows(spark):
+    """Windows by rank give what one search over the whole history gives, and no row is lost or doubled at their borders."""
+    rng = np.random.default_rng(3)
+    reg = spark.createDataFrame([("film thickness", "nm", "[]")], "property_norm string, canonical_unit string, aliases_json string")
+    cols = "claim_id string, property_norm string, value_type string, value_original string, unit_original string, unit string, grounding_quote string, extractor string, created_at timestamp_ntz"
+    import datetime as dt
+
+    rows, k = [], 0
+    while len(rows) < 700:
+        run, unit = int(rng.integers(8, 20)), ("nm", None)[k % 2]
+        for _ in range(run):
+            x = 100 * float(rng.uniform(0.9, 1.1))
+            rows.append((f"c{len(rows):04d}", "film thickness", "scalar", f"{x if unit else x / 1000:.5f}", unit, None, None, "s", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=len(rows))))
+        k += 1
+    df = spark.createDataFrame(rows, cols)
+    pick = lambda block: sorted((r["claim_id"], r["evidence"], r["mantissa"], r["exponent"]) for r in units.to_common_units(df, reg, block=block).collect())
+    whole = pick(10_000)
+    assert len(whole) == len(rows) and all(e in ("level", "unit_original") for _, e, _, _ in whole)
+    assert pick(128) == whole
+
+
+def test_levels_reverse_a_wrong_unit(spark):
+    reg = spark.createDataFrame([("film thickness", "nm", "[]")], "property_norm string, canonical_unit string, aliases_json string")
+    cols = "claim_id string, property_norm string, value_type string, value_original string, unit_original string, unit string, grounding_quote string, extractor string, created_at timestamp_ntz"
+    import datetime as dt
+
+    at = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i)
+    rows = [(f"a{i}", "film thickness", "scalar", str(100 + i % 3), "nm", None, None, "s", at(i)) for i in range(30)]
+    rows += [(f"b{i}", "film thickness", "scalar", str(100 + i % 3), "µm", None, None, "s", at(30 + i)) for i in range(10)]
+    rows += [("one", "film thickness", "scalar", "3", "µm", None, None, "q", at(50))]
+    got = {r["claim_id"]: r for r in units.to_common_units(spark.createDataFrame(rows, cols), reg).collect()}
+    assert got["b4"]["evidence"] == "reversed" and got["b4"]["value"] == pytest.approx(101) and got["a4"]["evidence"] == "unit_original"
+    assert got["one"]["evidence"] == "unit_original" and got["one"]["value"] == 3000
+
+
+def test_quotes_stand_whole(spark):
+    docs = spark.createDataFrame([(1, "The plate is made of zinc oxide and glass here"), (2, "made of zinc"), (3, None), (4, ""), (1, "The plate is made of zinc oxide and glass here")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "ate is made of zinc oxide an"), (2, "made of zinc"), (3, "is made of zinc oxide or glass"), (4, None), (5, ""), (6, "the plate is made of tin")], "item_id long, text string")
+    from kilnwork.operators import claims
+
+    assert {(r[0], r[1]) for r in claims.quoted(docs, items, F.lower).collect()} == {(1, 1), (1, 2), (2, 2)}
+    assert claims.quoted(docs.limit(0), items, F.lower).count() == 0
+
+
+def test_upsert_does_not_replace_what_it_cannot_read(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.upsert_table(spark, path, spark.createDataFrame([(1, "a")], "k long, v string"), ["k"])
+    for f in tmp_path.glob("t/*.parquet"):
+        f.write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        sinks.upsert_table(spark, path, spark.createDataFrame([(2, "b")], "k long, v string"), ["k"])
+    assert list(tmp_path.glob("t/*.parquet"))
+
+
+def test_many_roots_without_parent(spark):
+    rows = spark.range(2000).select(F.concat(F.lit("n"), "id").alias("category_id"), F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit("")).otherwise(F.lit("nowhere")).cast("string").alias("parent_id"))
+    got = forest.hierarchy(rows)
+    assert got.count() == 2000 and got.where("root_id = category_id and depth = 0").count() == 2000
