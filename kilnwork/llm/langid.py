@@ -14,7 +14,8 @@ another.  Documents whose label the first model contradicts are dropped and the
 model is trained again, so wrong labels do not stick.
 
 Scoring reads every document whole, in one pass without a shuffle.  A document
-longer than ``BLOCK`` words runs as several chains cut at line ends.
+longer than ``BLOCK`` words runs as several chains cut at line ends, each with
+``OVERLAP`` words of its neighbours, so that it does not begin without context.
 
 Defined results: null, empty and blank texts have no segments, and neither have
 texts without letters; ties go to the language first in the model's order;
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(r"\w+")
 #: Words of one chain; documents scored together.
 BLOCK, SLICE = 4096, 1024
+#: Words of its neighbours that a chain cut out of a longer text takes along at each end.
+OVERLAP = 256
 #: English and native names of languages that stand for a code in labels.
 NAMED = {
     "english": "en", "german": "de", "deutsch": "de", "french": "fr", "français": "fr", "spanish": "es", "español": "es",
@@ -123,8 +126,12 @@ class Tagger:
                 lines += [k] * len(found)
         return ids, lines, len(parts)
 
-    def marginals(self, chains: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-        """Posterior of each word of each chain; a chain is (word numbers, whether a word starts a line)."""
+    def marginals(self, chains: list[tuple[np.ndarray, np.ndarray]], expected: tuple[np.ndarray, np.ndarray] | None = None) -> list[np.ndarray]:
+        """Posterior of each word of each chain; a chain is (word numbers, whether a word starts a line).
+
+        ``expected`` are two arrays to which the expected transitions inside lines and
+        at the starts of lines are added.
+        """
         order = sorted(range(len(chains)), key=lambda c: -len(chains[c][0]))
         size = np.array([len(chains[c][0]) for c in order])
         top = int(size[0]) if len(size) else 0
@@ -159,6 +166,11 @@ class Tagger:
             g /= g.sum(axis=1, keepdims=True)
             if t:
                 m = emit[t, :k] * beta[:k]
+                if expected is not None:
+                    for at, trans, total in ((~start[t, :k], inside, expected[0]), (start[t, :k], at_line, expected[1])):
+                        if at.any():
+                            pair = alpha[t - 1, :k][at].astype(np.float64)[:, :, None] * trans[None] * m[at].astype(np.float64)[:, None, :]
+                            total += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
                 nb = m @ inside.T
                 b = np.nonzero(start[t, :k])[0]
                 if len(b):
@@ -173,7 +185,7 @@ class Tagger:
         """(first line, last line, language, confidence) of each stretch of each text."""
         if len(self.known) > 1_000_000:
             self.forget()
-        chains, owner, lines_of, total = [], [], [], []
+        chains, owner, lines_of, total, inner = [], [], [], [], []
         for i, text in enumerate(texts):
             ids, lines, n = self.words(text) if text else ([], [], 0)
             total.append(n)
@@ -182,12 +194,15 @@ class Tagger:
                 b = min(a + BLOCK, len(ids))
                 while a < b < len(ids) and b > a + BLOCK // 2 and lines[b] == lines[b - 1]:
                     b -= 1
-                at = np.array(lines[a:b])
-                first = np.ones(b - a, dtype=bool)
+                # a chain that is cut out of a longer text has words of its neighbours at both ends
+                lo, hi = max(0, a - OVERLAP), min(len(ids), b + OVERLAP)
+                at = np.array(lines[lo:hi])
+                first = np.ones(hi - lo, dtype=bool)
                 first[1:] = at[1:] != at[:-1]
-                chains.append((np.array(ids[a:b]), first))
+                chains.append((np.array(ids[lo:hi]), first))
                 owner.append(i)
-                lines_of.append(at)
+                lines_of.append(np.array(lines[a:b]))
+                inner.append((a - lo, b - lo))
                 a = b
         found: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
         if not chains:
@@ -205,9 +220,11 @@ class Tagger:
             lo = hi
         per_text: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in texts]
         for c, i in enumerate(owner):
-            at = lines_of[c]
-            cuts = np.nonzero(chains[c][1])[0]
-            sums = np.add.reduceat(post[c], cuts, axis=0)
+            at, (lo, hi) = lines_of[c], inner[c]
+            first = chains[c][1][lo:hi].copy()
+            first[0] = True
+            cuts = np.nonzero(first)[0]
+            sums = np.add.reduceat(post[c][lo:hi], cuts, axis=0)
             per_text[i].append((at[cuts], sums, np.diff(np.append(cuts, len(at)))))
         for i, parts in enumerate(per_text):
             if not parts:
@@ -249,7 +266,7 @@ def _train_once(docs: list[tuple[str, str]], languages: list[str], seed: int, ep
     rng = random.Random(seed)
     split = []
     for code, text in docs:
-        lines = [ws for line in text.lower().split("\n") if (ws := words_of(line)[:400])]
+        lines = [ws for line in text.lower().split("\n") if (ws := words_of(line))]
         if lines:
             split.append((languages.index(code), lines))
     s = len(languages)
@@ -308,18 +325,17 @@ def _train_once(docs: list[tuple[str, str]], languages: list[str], seed: int, ep
                 gold.append(np.array([y for y, ws in seq for _ in ws]))
             grad_rows = np.zeros((len(vocabulary), s))
             g_in, g_line = np.zeros_like(inside), np.zeros_like(at_line)
-            for (w, first), y, p in zip(packed, gold, model.marginals(packed)):
+            e_in, e_line = np.zeros_like(inside), np.zeros_like(at_line)
+            for (w, first), y, p in zip(packed, gold, model.marginals(packed, (e_in, e_line))):
                 p = p.astype(np.float64)
                 d = -p
                 d[np.arange(len(y)), y] += 1
                 np.add.at(grad_rows, w, d)
-                # observed minus expected transitions; the pair posterior is taken from its ends and the transition
-                for flag, trans, g in ((False, inside, g_in), (True, at_line, g_line)):
+                for flag, g in ((False, g_in), (True, g_line)):  # observed transitions
                     t = np.nonzero(first[1:] == flag)[0]
-                    if len(t):
-                        np.add.at(g, (y[t], y[t + 1]), 1.0)
-                        pair = p[t][:, :, None] * p[t + 1][:, None, :] * np.exp(trans)[None]
-                        g -= (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+                    np.add.at(g, (y[t], y[t + 1]), 1.0)
+            g_in -= e_in
+            g_line -= e_line
             ups[0].up(pull(grad_rows) - ridge * 0.1 * weights)
             ups[1].up(g_in - 0.1 * (inside + 7 * (1 - np.eye(s))))
             ups[2].up(g_line - 0.1 * (at_line + 5 * (1 - np.eye(s))))
@@ -357,7 +373,7 @@ def labelled_sample(docs: DataFrame, per_language: int, least_docs: int, *, id_c
     pick = F.lit(False)
     for label, part in exact:
         pick = pick | ((F.col(lang_col) == label) & (F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < int(part * 1_000_000)))
-    rows = docs.where(pick & (F.length(F.trim(F.col(text_col))) > 80)).select(lang_col, F.substring(text_col, 1, 20_000)).limit(2 * per_language * len(exact)).collect()
+    rows = docs.where(pick & (F.length(F.trim(F.col(text_col))) > 80)).select(lang_col, text_col, F.xxhash64(F.col(id_col)).alias("_h")).orderBy("_h", lang_col, text_col).limit(2 * per_language * len(exact)).collect()
     return [(r[0], r[1]) for r in sorted(rows)]
 
 

@@ -63,8 +63,8 @@ def _run_hashes(ids: np.ndarray, gram: int) -> np.ndarray:
 class ItemIndex:
     """The broadcast side: vocabulary, item words and the sorted run hashes of one block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], gram: int, least: int, one_in: int):
-        self.gram, self.least, self.one_in = gram, least, one_in
+    def __init__(self, items: list[tuple[int, str]], gram: int, least: int, one_in: int, reach: int = REACH):
+        self.gram, self.least, self.one_in, self.reach = gram, least, one_in, reach
         self.vocabulary: dict[str, int] = {}
         self.words: list[np.ndarray] = []
         self.item_ids: list[int] = []
@@ -151,9 +151,9 @@ class ItemIndex:
                 seen = True
                 yield got
         if not seen and len(offsets) > 1:
-            # chains reach at most REACH words, so offsets further apart are never on one chain
+            # chains reach at most so many words, so offsets further apart are never on one chain
             at = np.array(offsets)
-            for group in np.split(at, np.nonzero(np.diff(at) > REACH)[0] + 1):
+            for group in np.split(at, np.nonzero(np.diff(at) > self.reach)[0] + 1):
                 got = self.chained(rows, group, lines, lo) if len(group) > 1 else None
                 if got:
                     yield got
@@ -172,8 +172,8 @@ class ItemIndex:
         change = np.nonzero(np.diff(line))[0]
         begins, ends = np.zeros(total + 1, dtype=bool), np.zeros(total + 1, dtype=bool)
         begins[change + 1], ends[change] = True, True  # the first word of a line but the first, the last of one but the last
-        shifts = [(s, group[s:] - group[:-s]) for s in range(1, min(k - 1, REACH) + 1)]
-        shifts = [(s, gap <= REACH, gap == 1) for s, gap in shifts if (gap <= REACH).any()]
+        shifts = [(s, group[s:] - group[:-s]) for s in range(1, min(k - 1, self.reach) + 1)]
+        shifts = [(s, gap <= self.reach, gap == 1) for s, gap in shifts if (gap <= self.reach).any()]
         low = -(10**9)
         score, start = np.full((top + 1, k), low), np.zeros((top + 1, k), dtype=np.int64)
         best = None
@@ -252,14 +252,19 @@ def leaked_passages(
     least: int = 20,
     one_in: int = 8,
     block_words: int = 1_000_000,
+    reach: int = REACH,
 ) -> DataFrame:
-    """(id, item, word_from, word_to, n_changed) of every verified passage; no shuffle."""
+    """(id, item, word_from, word_to, n_changed) of every verified passage; no shuffle.
+
+    ``reach`` is how many words of inserted lines a passage may be broken by at one
+    place; a longer insertion makes two passages.
+    """
     spark = docs.sparkSession
     source = docs.select(id_col, text_col)
     schema = f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, `{item_col}` {benchmark.schema[item_col].dataType.simpleString()}, word_from int, word_to int, n_changed int"
     out = None
     for block in blocks_of_items(benchmark, item_col, item_text_col, block_words):
-        shared = spark.sparkContext.broadcast(ItemIndex(block, gram, least, one_in))
+        shared = spark.sparkContext.broadcast(ItemIndex(block, gram, least, one_in, reach))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value

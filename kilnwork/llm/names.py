@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnwork.runtime import cut
+from kilnwork.runtime import written
 
 _SPACE = re.compile(r"\s+")
 _TITLE = re.compile(r"^(?:(?:(?:professor|prof|dr\.?-ing|dipl\.?-ing|dr|mrs|mr|ms|sir)\b\.?)\s*)+", re.I)
@@ -98,8 +98,20 @@ def osa(a: str, b: str, most: int = 1) -> bool:
     return before.get(len(b), far) <= most
 
 
-def read_name(raw: str, given_names: set[str]) -> tuple[str, str, str | None, str] | None:
-    """(kind, surname or place, given name or kind of organisation, initials) of a typed name."""
+def ends_of(raw: str) -> tuple[str, str] | None:
+    """First and last word of a name typed without comma, as letters."""
+    text = _SUFFIX.sub("", _TITLE.sub("", _SPACE.sub(" ", raw).strip(" ,;"))).strip(" ,;")
+    parts = text.split(" ")
+    return None if "," in text or len(parts) < 2 else (letters(parts[0]), letters(parts[-1]))
+
+
+def read_name(raw: str, given_names: set[str], near_given: set[str] | None = None) -> tuple[str, str, str | None, str] | None:
+    """(kind, surname or place, given name or kind of organisation, initials) of a typed name.
+
+    ``given_names`` and ``near_given`` have those of its first and last word that are
+    given names, and that are one edit from one; without the latter the given names
+    themselves are tried.
+    """
     text = _SPACE.sub(" ", raw).strip(" ,;")
     if not text:
         return None
@@ -136,7 +148,7 @@ def read_name(raw: str, given_names: set[str]) -> tuple[str, str, str | None, st
             else:
                 head, tail = letters(parts[0]), letters(parts[-1])
                 known = lambda w: w in given_names or w in _LONG
-                close = lambda w: any(osa(w, g) for g in given_names if len(g) > 3 and abs(len(g) - len(w)) < 2)
+                close = lambda w: w in given_names or (w in near_given if near_given is not None else any(len(g) > 3 and osa(w, g) for g in given_names))
                 back = known(tail) and not known(head) or not known(head) and not close(head) and close(tail)
                 if back and not parts[0].lower() in _PARTICLES or back and parts[0].lower() in _PARTICLES:
                     last, first = " ".join(parts[:-1]), parts[-1]
@@ -204,15 +216,28 @@ def near_pairs(strings: DataFrame, *, most: int = 1) -> DataFrame:
     return pairs.mapInArrow(verify, pairs.schema)
 
 
-def _read(names: DataFrame, given_names: set[str]) -> DataFrame:
-    shared = names.sparkSession.sparkContext.broadcast(given_names)
+def _read(names: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Every distinct name read; the lexicon of given names is joined to the first and last words, never sent to the driver."""
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(raw, w) for raw in batch.column(0).to_pylist() for w in (ends_of(raw) or ()) if w]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())], ["raw", "word"])
+
+    words = written(names.select("raw").mapInArrow(ends, "raw string, word string").distinct())
+    distinct = words.select("word").distinct()
+    same = distinct.join(lexicon.select(F.col("given").alias("word")), "word", "left_semi").select("word", F.lit(True).alias("known"))
+    one = F.lit("g").alias("block")
+    pairs = near_pairs(distinct.where("length(word) >= 3").select(one, F.col("word").alias("text")).unionByName(lexicon.where("length(given) > 3").select(one, F.col("given").alias("text"))).distinct())
+    pairs = pairs.select(F.col("a").alias("word"), F.col("b").alias("given")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("given")))
+    close = pairs.join(lexicon.where("length(given) > 3"), "given", "left_semi").select("word", F.lit(False).alias("known"))
+    told = words.join(same.unionByName(close), "word").groupBy("raw").agg(F.collect_set(F.when(F.col("known"), F.col("word"))).alias("given_names"), F.collect_set(F.when(~F.col("known"), F.col("word"))).alias("near_given"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
             out = []
-            for raw, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = read_name(raw, known)
+            for raw, n, known, close in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                got = read_name(raw, set(known or ()), set(close or ()))
                 if got:
                     longs = _LONG.get(got[2] or "", []) if got[0] == "p" else []
                     out.append((raw, n, *got, longs))
@@ -220,61 +245,75 @@ def _read(names: DataFrame, given_names: set[str]) -> DataFrame:
             kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], ["raw", "n", "kind", "surname", "given", "initials", "longs"])
 
-    return names.mapInArrow(run, "raw string, n long, kind string, surname string, given string, initials string, longs array<string>")
+    asked = names.join(told, "raw", "left").select("raw", "n", "given_names", "near_given")
+    return asked.mapInArrow(run, "raw string, n long, kind string, surname string, given string, initials string, longs array<string>")
 
 
-def given_lexicon(names: DataFrame, least: int = 3) -> set[str]:
-    """Given names, learned from the names typed as ``Surname, Given``: words that follow several surnames."""
+def given_lexicon(names: DataFrame, least: int = 3) -> DataFrame:
+    """(given): given names, learned from the names typed as ``Surname, Given``: words that follow several surnames."""
     m = names.where("raw rlike '^[^,]+, *[^,. ]{3,}( |$)'").select(F.regexp_extract("raw", r"^([^,]+),", 1).alias("s"), F.regexp_extract("raw", r", *([^, ]{3,})", 1).alias("g"))
     got = m.groupBy("g").agg(F.count_distinct(F.lower("s")).alias("k")).where(F.col("k") >= least)
-    return {letters(r[0]) for r in got.orderBy(F.desc("k"), "g").limit(200_000).toLocalIterator()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([letters(g) for g in batch.column(0).to_pylist()], pa.string())], ["given"])
+
+    return got.select("g").mapInArrow(run, "given string").where("given <> ''").distinct()
 
 
-def _attach(forms: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
-    """Each form with the heaviest form it is linked to, itself included (one hop).
+def _led(forms: DataFrame, edges: DataFrame) -> DataFrame:
+    """(surname, given, to_surname, to_given): each form with the heaviest form its misspellings lead to, however many steps.
 
-    ``forms`` has the key columns and n; ``edges`` has them as a_* and b_*, both ways.
+    Every form points to its heaviest neighbour if that is heavier (ties by
+    spelling); pointers are doubled until none moves, so chains of any length end
+    at their head in a logarithmic number of joins.
     """
+    key = ["surname", "given"]
     heavy = forms.select(*[F.col(c).alias("b_" + c) for c in key], F.col("n").alias("m"))
     pull = edges.join(heavy, ["b_" + c for c in key]).groupBy(*["a_" + c for c in key]).agg(F.max(F.struct("m", *["b_" + c for c in key])).alias("best"))
-    j = forms.join(pull, [forms[c].eqNullSafe(pull["a_" + c]) for c in key], "left")
+    j = forms.join(pull, [forms[c] == pull["a_" + c] for c in key])
     lighter = (F.col("best.m") > F.col("n")) | ((F.col("best.m") == F.col("n")) & (F.struct(*["best.b_" + c for c in key]) < F.struct(*[F.col(c) for c in key])))
-    return j.select(*key, *[F.when(F.col("best").isNotNull() & lighter, F.col("best.b_" + c)).otherwise(F.col(c)).alias("to_" + c) for c in key])
+    to = written(j.where(lighter).select(*key, *[F.col("best.b_" + c).alias("to_" + c) for c in key]))
+    while True:
+        hop = to.select(F.col("surname").alias("s1"), F.col("given").alias("g1"), F.col("to_surname").alias("s2"), F.col("to_given").alias("g2"))
+        on = to.join(hop, (to["to_surname"] == hop["s1"]) & (to["to_given"] == hop["g1"]), "left")
+        moved = written(on.select("surname", "given", F.coalesce("s2", "to_surname").alias("to_surname"), F.coalesce("g2", "to_given").alias("to_given"), F.col("s2").isNotNull().alias("on")))
+        to = moved.drop("on")
+        if moved.where("on").isEmpty():
+            return to
 
 
 def entities(names: DataFrame) -> DataFrame:
     """(raw, entity) for distinct typed names; ``names`` has raw and n (how many rows have it)."""
-    lex = given_lexicon(names)
-    read = cut(_read(names.select("raw", "n"), lex))
+    read = written(_read(names.select("raw", "n"), written(given_lexicon(names))))
     # Short forms: the given name that occurs with the surname, else the first one they stand for.
     full0 = read.where("given is not null").groupBy("surname", F.col("given").alias("long")).agg(F.sum("n").alias("k"))
     short = read.where("size(longs) > 0").select("raw", "surname", F.posexplode("longs").alias("at", "long"))
     pick = short.join(full0, ["surname", "long"], "left").groupBy("raw").agg(F.max(F.struct(F.coalesce("k", F.lit(0)).alias("k"), (-F.col("at")).alias("o"), "long")).alias("p"))
-    read = cut(read.join(pick, "raw", "left").select("raw", "n", "kind", "surname", F.coalesce("p.long", "given").alias("given"), "initials"))
+    read = written(read.join(pick, "raw", "left").select("raw", "n", "kind", "surname", F.coalesce("p.long", "given").alias("given"), "initials"))
 
     forms = read.where("given is not null").groupBy("surname", "given").agg(F.sum("n").alias("n"), F.max(F.substring("initials", 1, 1)).alias("first"))
-    forms = cut(forms)
-    by_given = near_pairs(forms.where("length(surname) >= 5").select(F.col("given").alias("block"), F.col("surname").alias("text")))
-    by_surname = near_pairs(forms.where("length(given) >= 4").select(F.col("surname").alias("block"), F.col("given").alias("text")))
-    e = by_given.select(F.col("a").alias("a_surname"), F.col("block").alias("a_given"), F.col("b").alias("b_surname"), F.col("block").alias("b_given")).unionByName(
-        by_surname.select(F.col("block").alias("a_surname"), F.col("a").alias("a_given"), F.col("block").alias("b_surname"), F.col("b").alias("b_given"))
+    forms = written(forms)
+    # One segment join for both: the block says which part is equal.
+    near_ = near_pairs(
+        forms.where("length(surname) >= 5").select(F.concat(F.lit("g"), "given").alias("block"), F.col("surname").alias("text")).unionByName(forms.where("length(given) >= 4").select(F.concat(F.lit("s"), "surname").alias("block"), F.col("given").alias("text")))
     )
-    e = cut(e.unionByName(e.select(F.col("b_surname").alias("a_surname"), F.col("b_given").alias("a_given"), F.col("a_surname").alias("b_surname"), F.col("a_given").alias("b_given"))))
-    to = _attach(forms, e, ["surname", "given"])
-    # a second hop: a misspelling of a misspelling's neighbour
-    hop = to.select(F.col("surname").alias("s1"), F.col("given").alias("g1"), F.col("to_surname").alias("s2"), F.col("to_given").alias("g2"))
-    to = cut(to.join(hop, (to["to_surname"] == hop["s1"]) & (to["to_given"] == hop["g1"]), "left").select("surname", "given", F.coalesce("s2", "to_surname").alias("to_surname"), F.coalesce("g2", "to_given").alias("to_given")))
-    full = cut(
+    of, same = F.substring("block", 1, 1) == "g", F.expr("substring(block, 2)")
+    part = lambda x: (F.when(of, F.col(x)).otherwise(same), F.when(of, same).otherwise(F.col(x)))
+    e = near_.select(part("a")[0].alias("a_surname"), part("a")[1].alias("a_given"), part("b")[0].alias("b_surname"), part("b")[1].alias("b_given"))
+    e = written(e.unionByName(e.select(F.col("b_surname").alias("a_surname"), F.col("b_given").alias("a_given"), F.col("a_surname").alias("b_surname"), F.col("a_given").alias("b_given"))))
+    to = _led(forms, e)
+    full = written(
         read.where("given is not null")
-        .join(to, ["surname", "given"])
-        .select("raw", "n", "kind", F.col("to_surname").alias("surname"), F.col("to_given").alias("given"), F.expr("substring(initials, 2, 8)").alias("rest"), F.length(F.regexp_replace("to_given", "[^a-z]", "")).alias("gl"))
+        .join(to, ["surname", "given"], "left")
+        .select("raw", "n", "kind", F.coalesce("to_surname", "surname").alias("surname"), F.coalesce("to_given", "given").alias("given"), F.expr("substring(initials, 2)").alias("rest"))
     )
     # Middle initials: one, or none, makes one person of a name; several make several, and bare names of them stay apart.
     mids = full.where("length(rest) > 0").groupBy("surname", "given").agg(F.count_distinct("rest").alias("many"), F.max("rest").alias("only"))
     tree = full.join(mids, ["surname", "given"], "left").select(
         "raw", "surname", "given", F.when(F.coalesce("many", F.lit(0)) <= 1, F.coalesce("only", F.lit(""))).otherwise(F.col("rest")).alias("mid")
     )
-    tree = cut(tree.withColumn("entity", F.concat_ws("|", "surname", "given", "mid")))
+    tree = written(tree.withColumn("entity", F.concat_ws("|", "surname", "given", "mid")))
 
     # Initials only: surnames misspelt there are first led to the one surname near them.
     lone = read.where("given is null").select("raw", "n", "surname", "initials")
@@ -317,16 +356,16 @@ def linked_names(authors: DataFrame, docs: DataFrame, works: DataFrame) -> tuple
     """((key, raw, entity) of authors rows, the same of byline names)."""
     a = authors.where("author_id is not null and trim(display_name) <> ''").select(F.concat(F.lit("author/"), "author_id").alias("key"), F.col("display_name").alias("raw")).distinct()
     b = byline_names(docs, "doc_id", "authors_json", "document").unionByName(byline_names(works, "doi", "authors_json", "work"))
-    b = cut(b)
-    names = cut(a.unionByName(b).groupBy("raw").agg(F.count("*").alias("n")))
-    ent = cut(entities(names))
+    b = written(b)
+    names = written(a.unionByName(b).groupBy("raw").agg(F.count("*").alias("n")))
+    ent = written(entities(names))
     return a.join(ent, "raw"), b.join(ent, "raw")
 
 
 def same_names(authors: DataFrame, docs: DataFrame, works: DataFrame) -> DataFrame:
     """(key_a, key_b): authors rows of one entity, and authors rows with byline names that equal no display name."""
     a, b = linked_names(authors, docs, works)
-    a = cut(a)
+    a = written(a)
     x, y = a.select(F.col("key").alias("key_a"), "entity"), a.select(F.col("key").alias("key_b"), "entity")
     own = x.join(y, "entity").where("key_a < key_b").select("key_a", "key_b")
     other = b.join(a.select("raw").distinct(), "raw", "left_anti").select(F.col("key").alias("key_b"), "entity")

@@ -66,7 +66,7 @@ def page_numbers(lines: list[str]) -> set[int]:
     """Lines that are only a page number.  A bare number counts unless it stands in a column of figures."""
     out = set()
     for i, line in enumerate(lines):
-        if len(line) > 40 or not (m := _PAGE.match(line)):
+        if not (m := _PAGE.match(line)):
             continue
         if not any(c.isdigit() for c in line) and "O" in line:
             continue
@@ -88,7 +88,7 @@ def _in_column(lines: list[str], i: int) -> bool:
 
 def maybe_header(line: str) -> str | None:
     """The text of a line that could be a running header, its page number taken off."""
-    if len(line) > 110 or "|" in line[1:-1]:
+    if "|" in line[1:-1]:
         return None
     text = _PAGE_EDGE.sub("", line).strip()
     first = next((c for c in text if c.isalpha()), "")
@@ -197,7 +197,7 @@ def corrections(words: DataFrame, *, ratio: int = 20, least: int = 20) -> DataFr
     at most three times count, and only in a text that has the fixed word too.
     """
     spark = words.sparkSession
-    plain = words.where(~F.col("word").rlike("[-‐‑]") & (F.length("word") >= 2) & (F.length("word") <= 40))
+    plain = words.where(~F.col("word").rlike("[-‐‑]") & (F.length("word") >= 2))
     table = spark.createDataFrame([(x, y) for x, y in CONFUSIONS], "wrong string, right string")
     table = table.select("wrong", "right", (anagram_hash(F.col("right")) - anagram_hash(F.col("wrong"))).alias("step"))
     hashed = cut(plain.select("word", "n", anagram_hash(F.col("word")).alias("h")))
@@ -242,7 +242,7 @@ def _scan(texts, ids, docs, fixes, weak):
         for i, line in enumerate(lines[:-1]):
             if line and line.rstrip()[-1:] in HYPHENS and i not in pages and (m := _LAST.search(line)):
                 a, tried, k = m[1], 0, i + 1
-                while k < len(lines) and tried < 4:
+                while k < len(lines):
                     nxt = lines[k]
                     if k in pages or not nxt.strip():
                         k += 1
@@ -371,21 +371,22 @@ def noisy_lines(chunks: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFram
 def repaired_texts(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """(record_id, text): headers and page numbers out, cut words joined, misread words corrected, lines of a paragraph joined."""
     lines, fixes = noisy_lines(chunks, docs)
-    marks = lines.groupBy("record_id").agg(F.collect_list(F.struct("line_no", "kind")).alias("marks"))
-    rows = records(chunks, docs).select("record_id", "text").distinct().join(marks, "record_id", "left")
-    if not small_enough(fixes, 2_000_000):
-        raise ValueError("more corrections than a broadcast may hold: repair in parts")
-    shared = chunks.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in fixes.toLocalIterator()})
+    lines = cut(lines)
+    rows = records(chunks, docs).select("record_id", "text").distinct()
+    # The corrections of a record's misread lines come to it by a join on the word, so their number is not bounded.
+    wrong = lines.where("kind = 'misread'").select("record_id", "line_no")
+    words = wrong.join(rows, "record_id").select("record_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.split("text", "\n")[F.col("line_no")]), F.lit("([\\p{L}\\p{M}\\p{N}_@]+)"), 1))).alias("word"))
+    own = words.join(fixes.select("word", "fixed"), "word").distinct().groupBy("record_id").agg(F.collect_list(F.struct("word", "fixed")).alias("known"))
+    marks = lines.groupBy("record_id").agg(F.collect_list(F.struct("line_no", "kind")).alias("marks")).join(own, "record_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
             texts = []
-            for text, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                texts.append(repair(text, marks, known) if marks else text)
+            for text, marks, known in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                texts.append(repair(text, marks, {k["word"]: k["fixed"] for k in known or ()}) if marks else text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["record_id", "text"])
 
-    return rows.mapInArrow(run, "record_id string, text string")
+    return rows.join(marks, "record_id", "left").select("record_id", "text", "marks", "known").mapInArrow(run, "record_id string, text string")
 
 
 def repair(text: str, marks: list[dict], known: dict[str, str]) -> str:

@@ -384,6 +384,43 @@ def test_retrieval_finds_every_pair_that_scores(spark):
     assert got == want
 
 
+def test_expected_transitions_are_those_of_all_paths():
+    """Against the sum over all label sequences of short chains."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    inside, at_line = rng.normal(size=(3, 3)), rng.normal(size=(3, 3))
+    tagger = langid.Tagger(["a", "b", "c"], {}, np.zeros((0, 3), np.float32), inside, at_line)
+    tagger.rows = rng.normal(size=(5, 3)).astype(np.float32)
+    chains = [(np.array([0, 3, 1, 4]), np.array([True, False, True, False])), (np.array([2, 2]), np.array([True, True]))]
+    got = (np.zeros((3, 3)), np.zeros((3, 3)))
+    post = tagger.marginals(chains, got)
+    want, each = (np.zeros((3, 3)), np.zeros((3, 3))), []
+    for ids, first in chains:
+        paths = list(itertools.product(range(3), repeat=len(ids)))
+        value = [np.exp(sum(float(tagger.rows[w, y]) for w, y in zip(ids, p)) + sum((at_line if first[t] else inside)[p[t - 1], p[t]] for t in range(1, len(p)))) for p in paths]
+        node = np.zeros((len(ids), 3))
+        for p, v in zip(paths, value):
+            for t, y in enumerate(p):
+                node[t, y] += v / sum(value)
+                if t:
+                    want[1 if first[t] else 0][p[t - 1], y] += v / sum(value)
+        each.append(node)
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(post, each))
+    assert all(np.allclose(a, b, atol=1e-3) for a, b in zip(got, want))
+
+
+def test_long_headers_and_names_of_many_steps(spark):
+    title = "On the long and winding story of films that were grown on plates of glass under vacuum and measured for many years thereafter"
+    assert len(title) > 110 and scans.maybe_header(title) == title and scans.is_header(title, title, None)
+    chain = ["marbolden", "marbaldon", "marbalden"]  # the first and second are two edits apart, each one from the third
+    df = spark.createDataFrame([(f"{s}, Theodora", n) for s, n in zip(chain, (2, 1, 5))] + [(f"{s}, Theodora", 9) for s in ("kern", "lohse", "mai")], "raw string, n long")
+    got = {r["raw"].split(",")[0]: r["entity"] for r in names.entities(df).collect()}
+    assert got["marbolden"] == got["marbaldon"] == got["marbalden"] and len({got["kern"], got["lohse"], got["mai"]}) == 3
+
+
 # -- SQL ----------------------------------------------------------------------------
 
 
