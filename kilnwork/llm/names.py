@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnwork.runtime import written
+from kilnwork.runtime import cut
 
 _SPACE = re.compile(r"\s+")
 _TITLE = re.compile(r"^(?:(?:(?:professor|prof|dr\.?-ing|dipl\.?-ing|dr|mrs|mr|ms|sir)\b\.?)\s*)+", re.I)
@@ -183,19 +183,20 @@ def read_name(raw: str, given_names: set[str], near_given: set[str] | None = Non
 _ORG_COMMON = {"energy", "surface", "process", "applied", "films", "materials", "science", "chemistry", "physics", "technology", "national", "engineering", "research", "state"}
 
 
-def near_pairs(strings: DataFrame, *, most: int = 1) -> DataFrame:
-    """(block, a, b) with a < b: strings of one block at most ``most`` edits apart, swaps included.
+def near_pairs(strings: DataFrame, *, most: int = 1, among: DataFrame | None = None) -> DataFrame:
+    """(block, a, b) with a < b: strings of one block at most ``most`` edits apart, swaps included; with ``among`` each string with those of the other table.
 
     ``strings`` has block and text, distinct.  A swap of neighbours counts two in
     the pigeonhole, so texts are cut into ``2 * most + 1`` segments.
     """
     k = 2 * most
     sized = strings.select("block", "text", F.length("text").alias("n")).where(F.col("n") > k)
+    others = sized if among is None else among.select("block", "text", F.length("text").alias("n")).where(F.col("n") > k)
     seg = F.expr(
         f"transform(sequence(0, {k}), i -> struct(i as i, cast(floor(i * n / {k + 1}) as int) as at,"
         f" cast(floor((i + 1) * n / {k + 1}) as int) - cast(floor(i * n / {k + 1}) as int) as len))"
     )
-    index = sized.withColumn("s", F.explode(seg)).select("block", F.col("text").alias("b"), F.col("n").alias("m"), F.col("s.i").alias("i"), F.expr("substring(text, s.at + 1, s.len)").alias("part"))
+    index = others.withColumn("s", F.explode(seg)).select("block", F.col("text").alias("b"), F.col("n").alias("m"), F.col("s.i").alias("i"), F.expr("substring(text, s.at + 1, s.len)").alias("part"))
     probe = F.expr(
         f"flatten(transform(sequence(greatest(n - {most}, {k + 1}), n + {most}), m -> flatten(transform(sequence(0, {k}), i ->"
         f" transform(sequence(-{most}, {most}), d -> struct(m as m, i as i, cast(floor(i * m / {k + 1}) as int) + d as at,"
@@ -206,7 +207,7 @@ def near_pairs(strings: DataFrame, *, most: int = 1) -> DataFrame:
         .where("s.at >= 0 and s.at + s.len <= n and s.len > 0")
         .select("block", F.col("text").alias("a"), F.col("s.m").alias("m"), F.col("s.i").alias("i"), F.expr("substring(text, s.at + 1, s.len)").alias("part"))
     )
-    pairs = probes.join(index, ["block", "m", "i", "part"]).where("a < b").select("block", "a", "b").distinct()
+    pairs = probes.join(index, ["block", "m", "i", "part"]).where("a < b" if among is None else "a <> b").select("block", "a", "b").distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,13 +225,12 @@ def _read(names: DataFrame, lexicon: DataFrame) -> DataFrame:
             got = [(raw, w) for raw in batch.column(0).to_pylist() for w in (ends_of(raw) or ()) if w]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())], ["raw", "word"])
 
-    words = written(names.select("raw").mapInArrow(ends, "raw string, word string").distinct())
+    words = cut(names.select("raw").mapInArrow(ends, "raw string, word string").distinct())
     distinct = words.select("word").distinct()
     same = distinct.join(lexicon.select(F.col("given").alias("word")), "word", "left_semi").select("word", F.lit(True).alias("known"))
     one = F.lit("g").alias("block")
-    pairs = near_pairs(distinct.where("length(word) >= 3").select(one, F.col("word").alias("text")).unionByName(lexicon.where("length(given) > 3").select(one, F.col("given").alias("text"))).distinct())
-    pairs = pairs.select(F.col("a").alias("word"), F.col("b").alias("given")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("given")))
-    close = pairs.join(lexicon.where("length(given) > 3"), "given", "left_semi").select("word", F.lit(False).alias("known"))
+    pairs = near_pairs(distinct.where("length(word) >= 3").select(one, F.col("word").alias("text")), among=lexicon.where("length(given) > 3").select(one, F.col("given").alias("text")))
+    close = pairs.select(F.col("a").alias("word"), F.lit(False).alias("known")).distinct()
     told = words.join(same.unionByName(close), "word").groupBy("raw").agg(F.collect_set(F.when(F.col("known"), F.col("word"))).alias("given_names"), F.collect_set(F.when(~F.col("known"), F.col("word"))).alias("near_given"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,11 +273,11 @@ def _led(forms: DataFrame, edges: DataFrame) -> DataFrame:
     pull = edges.join(heavy, ["b_" + c for c in key]).groupBy(*["a_" + c for c in key]).agg(F.max(F.struct("m", *["b_" + c for c in key])).alias("best"))
     j = forms.join(pull, [forms[c] == pull["a_" + c] for c in key])
     lighter = (F.col("best.m") > F.col("n")) | ((F.col("best.m") == F.col("n")) & (F.struct(*["best.b_" + c for c in key]) < F.struct(*[F.col(c) for c in key])))
-    to = written(j.where(lighter).select(*key, *[F.col("best.b_" + c).alias("to_" + c) for c in key]))
+    to = cut(j.where(lighter).select(*key, *[F.col("best.b_" + c).alias("to_" + c) for c in key]))
     while True:
         hop = to.select(F.col("surname").alias("s1"), F.col("given").alias("g1"), F.col("to_surname").alias("s2"), F.col("to_given").alias("g2"))
         on = to.join(hop, (to["to_surname"] == hop["s1"]) & (to["to_given"] == hop["g1"]), "left")
-        moved = written(on.select("surname", "given", F.coalesce("s2", "to_surname").alias("to_surname"), F.coalesce("g2", "to_given").alias("to_given"), F.col("s2").isNotNull().alias("on")))
+        moved = cut(on.select("surname", "given", F.coalesce("s2", "to_surname").alias("to_surname"), F.coalesce("g2", "to_given").alias("to_given"), F.col("s2").isNotNull().alias("on")))
         to = moved.drop("on")
         if moved.where("on").isEmpty():
             return to
@@ -285,15 +285,15 @@ def _led(forms: DataFrame, edges: DataFrame) -> DataFrame:
 
 def entities(names: DataFrame) -> DataFrame:
     """(raw, entity) for distinct typed names; ``names`` has raw and n (how many rows have it)."""
-    read = written(_read(names.select("raw", "n"), written(given_lexicon(names))))
+    read = cut(_read(names.select("raw", "n"), cut(given_lexicon(names))))
     # Short forms: the given name that occurs with the surname, else the first one they stand for.
     full0 = read.where("given is not null").groupBy("surname", F.col("given").alias("long")).agg(F.sum("n").alias("k"))
     short = read.where("size(longs) > 0").select("raw", "surname", F.posexplode("longs").alias("at", "long"))
     pick = short.join(full0, ["surname", "long"], "left").groupBy("raw").agg(F.max(F.struct(F.coalesce("k", F.lit(0)).alias("k"), (-F.col("at")).alias("o"), "long")).alias("p"))
-    read = written(read.join(pick, "raw", "left").select("raw", "n", "kind", "surname", F.coalesce("p.long", "given").alias("given"), "initials"))
+    read = cut(read.join(pick, "raw", "left").select("raw", "n", "kind", "surname", F.coalesce("p.long", "given").alias("given"), "initials"))
 
     forms = read.where("given is not null").groupBy("surname", "given").agg(F.sum("n").alias("n"), F.max(F.substring("initials", 1, 1)).alias("first"))
-    forms = written(forms)
+    forms = cut(forms)
     # One segment join for both: the block says which part is equal.
     near_ = near_pairs(
         forms.where("length(surname) >= 5").select(F.concat(F.lit("g"), "given").alias("block"), F.col("surname").alias("text")).unionByName(forms.where("length(given) >= 4").select(F.concat(F.lit("s"), "surname").alias("block"), F.col("given").alias("text")))
@@ -301,9 +301,9 @@ def entities(names: DataFrame) -> DataFrame:
     of, same = F.substring("block", 1, 1) == "g", F.expr("substring(block, 2)")
     part = lambda x: (F.when(of, F.col(x)).otherwise(same), F.when(of, same).otherwise(F.col(x)))
     e = near_.select(part("a")[0].alias("a_surname"), part("a")[1].alias("a_given"), part("b")[0].alias("b_surname"), part("b")[1].alias("b_given"))
-    e = written(e.unionByName(e.select(F.col("b_surname").alias("a_surname"), F.col("b_given").alias("a_given"), F.col("a_surname").alias("b_surname"), F.col("a_given").alias("b_given"))))
+    e = cut(e.unionByName(e.select(F.col("b_surname").alias("a_surname"), F.col("b_given").alias("a_given"), F.col("a_surname").alias("b_surname"), F.col("a_given").alias("b_given"))))
     to = _led(forms, e)
-    full = written(
+    full = cut(
         read.where("given is not null")
         .join(to, ["surname", "given"], "left")
         .select("raw", "n", "kind", F.coalesce("to_surname", "surname").alias("surname"), F.coalesce("to_given", "given").alias("given"), F.expr("substring(initials, 2)").alias("rest"))
@@ -313,7 +313,7 @@ def entities(names: DataFrame) -> DataFrame:
     tree = full.join(mids, ["surname", "given"], "left").select(
         "raw", "surname", "given", F.when(F.coalesce("many", F.lit(0)) <= 1, F.coalesce("only", F.lit(""))).otherwise(F.col("rest")).alias("mid")
     )
-    tree = written(tree.withColumn("entity", F.concat_ws("|", "surname", "given", "mid")))
+    tree = cut(tree.withColumn("entity", F.concat_ws("|", "surname", "given", "mid")))
 
     # Initials only: surnames misspelt there are first led to the one surname near them.
     lone = read.where("given is null").select("raw", "n", "surname", "initials")
@@ -356,16 +356,16 @@ def linked_names(authors: DataFrame, docs: DataFrame, works: DataFrame) -> tuple
     """((key, raw, entity) of authors rows, the same of byline names)."""
     a = authors.where("author_id is not null and trim(display_name) <> ''").select(F.concat(F.lit("author/"), "author_id").alias("key"), F.col("display_name").alias("raw")).distinct()
     b = byline_names(docs, "doc_id", "authors_json", "document").unionByName(byline_names(works, "doi", "authors_json", "work"))
-    b = written(b)
-    names = written(a.unionByName(b).groupBy("raw").agg(F.count("*").alias("n")))
-    ent = written(entities(names))
+    b = cut(b)
+    names = cut(a.unionByName(b).groupBy("raw").agg(F.count("*").alias("n")))
+    ent = cut(entities(names))
     return a.join(ent, "raw"), b.join(ent, "raw")
 
 
 def same_names(authors: DataFrame, docs: DataFrame, works: DataFrame) -> DataFrame:
     """(key_a, key_b): authors rows of one entity, and authors rows with byline names that equal no display name."""
     a, b = linked_names(authors, docs, works)
-    a = written(a)
+    a = cut(a)
     x, y = a.select(F.col("key").alias("key_a"), "entity"), a.select(F.col("key").alias("key_b"), "entity")
     own = x.join(y, "entity").where("key_a < key_b").select("key_a", "key_b")
     other = b.join(a.select("raw").distinct(), "raw", "left_anti").select(F.col("key").alias("key_b"), "entity")
