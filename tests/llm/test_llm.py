@@ -384,6 +384,26 @@ def test_retrieval_finds_every_pair_that_scores(spark):
     assert got == want
 
 
+def test_matches_of_frequent_words(spark):
+    """Titles of words that many records have are matched too: a paper cited often, and tables of one publication."""
+    docs = spark.createDataFrame([(1, "Growth of films on glass", None, None), (2, "Hardness of layers under load", 1999, '["Ann Miller"]')], "doc_id long, title string, year int, authors_json string")
+    works = spark.createDataFrame([("w1", "Growth of films on glass", None, None)], "doi string, title string, year int, authors_json string")
+    refs = spark.createDataFrame([(f"r{k}", f"[{k}] Growth of films on glass", None) for k in range(40)] + [(f"s{k}", f"[{k}] Hardness of layers under load", None) for k in range(40)], "sha256 string, raw_text string, resolved_doi string")
+    got = set(rows(linkage.matches(docs, works, refs), "key_a", "key_b"))
+    assert got == {("doc/1", "work/w1")} | {("doc/1", f"ref/r{k}") for k in range(40)} | {(f"ref/r{k}", "work/w1") for k in range(40)} | {("doc/2", f"ref/s{k}") for k in range(40)}
+    one = refs.where("sha256 = 'r1'")
+    assert set(rows(linkage.matches(docs.where("doc_id = 1"), works, one), "key_a", "key_b")) == {("doc/1", "work/w1"), ("doc/1", "ref/r1"), ("ref/r1", "work/w1")}
+
+
+def test_what_fits_two_publications_tells_none(spark):
+    """A reference cut off before the rare word of its title is matched only where one title is so begun."""
+    fill = [(f"f{k}", f"Growth of steady silicon layers from pyxbat{chr(97 + k)}{chr(98 + k)}{chr(99 + k)}", 1980, None) for k in range(20)]
+    works = spark.createDataFrame([("w1", "Dry etching of silver films with zorblate", 2001, None), ("w2", "Dry etching of silver films with mirquat", 2001, None), ("w3", "Dry etching of copper films with halumene", 2001, None), *fill], "doi string, title string, year int, authors_json string")
+    docs = spark.createDataFrame([], "doc_id long, title string, year int, authors_json string")
+    refs = spark.createDataFrame([("r1", "2001 Dry etching of silver films with", None), ("r2", "2001 Dry etching of copper films with", None)], "sha256 string, raw_text string, resolved_doi string")
+    assert set(rows(linkage.matches(docs, works, refs), "key_a", "key_b")) == {("ref/r2", "work/w3")}
+
+
 def test_expected_transitions_are_those_of_all_paths():
     """Against the sum over all label sequences of short chains."""
     import itertools
