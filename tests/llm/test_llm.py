@@ -1,6 +1,7 @@
 """Training-data operators against brute force, round trips and small defined cases."""
 
 import glob
+import json
 import os
 import random
 import re
@@ -384,6 +385,36 @@ def test_retrieval_finds_every_pair_that_scores(spark):
     assert got == want
 
 
+def test_pairs_of_frequent_words_are_pruned_exactly(spark):
+    """Titles of the same frequent words with other rare words, authors and years: what can reach the cover is scored, and little else."""
+    rng = random.Random(1)
+    letters = lambda n, of="abcdefghij": "".join(rng.choice(of) for _ in range(n))
+    phrases = [[letters(rng.randint(4, 8)) for _ in range(rng.choice([4, 5, 6, 18]))] for _ in range(12)]
+    people = [letters(8, "klmnopqrst") for _ in range(40)]
+    docs, works, refs = [], [], []
+    for k in range(150):
+        phrase = rng.choice(phrases)
+        words = rng.choice([[*phrase, letters(9)], [letters(9), *phrase], phrase, phrase[: len(phrase) // 2 + 1]])
+        year, who = rng.choice([None, *range(1980, 2000)]), rng.sample(people, rng.choice([0, 1, 2, 14]))
+        docs.append((k, " ".join(words), year, json.dumps([f"A. {p}" for p in who])))
+        cut = words[: rng.randint(2, len(words))] if rng.random() < 0.3 else words
+        works.append((f"w{k}", " ".join(w + "z" if rng.random() < 0.05 else w for w in cut) + rng.choice(["", " ..."]), rng.choice([year, year, None, 1985]), json.dumps(rng.choice([who, who[:1], rng.sample(people, 2), []]))))
+        refs.append((f"r{k}", f"{' '.join(rng.choice([who, who[:1], []]))} {' '.join(cut)} {rng.choice([year, 1991, None]) or ''} {rng.choice(['', letters(9)])}"))
+    found = linkage.paper_rows(spark.createDataFrame(docs, "doc_id long, title string, year int, authors_json string"))
+    found = found.unionByName(linkage.work_rows(spark.createDataFrame(works, "doi string, title string, year int, authors_json string")))
+    found = found.unionByName(linkage.reference_rows(spark.createDataFrame(refs, "sha256 string, raw_text string")))
+    rec = found.withColumn("cid", F.xxhash64(*linkage._BODY)).drop("key").dropDuplicates(["cid"]).cache()
+    size = rec.count()
+    once = linkage.weight_of(1, size)
+    index, near_, common = linkage.indexed(rec, size, once)
+    pairs = {(x["q"], x["d"]) for x in linkage.proposed(index, near_, common).collect()}
+    bodies = [(x["cid"], x["kind"], linkage.Query(x["body"])) for x in index.select("cid", "kind", "body").collect()]
+    want = {(a, b) for a, ka, x in bodies for b, kb, y in bodies if ka > kb and linkage.score(x, y, once) >= 0.5}
+    assert len(want) > 200
+    assert want <= pairs
+    assert len(pairs) < 2 * len(want)
+
+
 def test_matches_of_frequent_words(spark):
     """Titles of words that many records have are matched too: a paper cited often, and tables of one publication."""
     docs = spark.createDataFrame([(1, "Growth of films on glass", None, None), (2, "Hardness of layers under load", 1999, '["Ann Miller"]')], "doc_id long, title string, year int, authors_json string")
